@@ -29,6 +29,8 @@ from .common import bound_batches, chunks, null_safe_text, stored, word_hashes
 
 STATS = ("words", "word_length", "upper", "digits", "symbols", "bars", "bangs", "stops", "commas", "other_marks", "non_ascii", "lines", "repeat_next", "distinct", "top_word", "repeat_lines")
 _N = len(STATS)
+#: Rates are taken as if a text had this many unremarkable words more, so one number in a short text says little.
+SMOOTH = 20.0
 
 
 def _class(chars: str) -> np.ndarray:
@@ -48,7 +50,7 @@ def statistics(col: pa.Array) -> np.ndarray:
     for _, _, data, offs in chunks(col):
         rows = len(offs) - 1
         x = np.zeros((rows, _N))
-        size = np.maximum(1, np.diff(offs)).astype(float)
+        size = np.diff(offs) + 6.0 * SMOOTH
         full = np.flatnonzero(np.diff(offs) > 0)
 
         def per_row(weights: np.ndarray, data=data, offs=offs, full=full, rows=rows) -> np.ndarray:
@@ -59,7 +61,7 @@ def statistics(col: pa.Array) -> np.ndarray:
 
         h, s, e, row = word_hashes(data, offs, lower=True)
         n = np.bincount(row, minlength=rows).astype(float)
-        one = np.maximum(1, n)
+        one = n + SMOOTH
         counts = [per_row(c) for c in _CLASSES]
         x[:, 0] = np.log1p(n)
         x[:, 1] = np.log1p(np.bincount(row, e - s, minlength=rows) / one)
@@ -115,7 +117,7 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
-def discriminant(n: np.ndarray, total: np.ndarray, products: np.ndarray, to_pooled: float = 0.1, to_identity: float = 0.02) -> Model:
+def discriminant(n: np.ndarray, total: np.ndarray, products: np.ndarray, to_pooled: float = 0.2, to_identity: float = 0.02) -> Model:
     """The model for classes 0 and 1 from counts (2), sums (2, d) and sums of products (2, d, d)."""
     d = total.shape[1]
     if n.min() < 2:
