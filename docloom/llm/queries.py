@@ -124,6 +124,29 @@ links AS (
 reach AS (SELECT doc_id AS id, doc_id AS r FROM d UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) c ON c.id = d.doc_id""",
+    "op7_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
+w AS (SELECT *, CASE r % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w, CAST(3 * s AS DOUBLE) AS cap FROM per),
+lv AS (
+  SELECT *, (sum(s::DOUBLE) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT level AS final FROM lv WHERE cap / w > level ORDER BY cap / w, r LIMIT 1),
+t AS (SELECT source, s, r, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * w) END AS target FROM lv LEFT JOIN f ON true),
+p AS (
+  SELECT d.*, t.s, t.r, t.target,
+    CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (
+  SELECT *, CAST(floor(target) AS BIGINT) AS goal, CASE WHEN target > 0 THEN start / target ELSE 0 END AS x FROM p),
+n AS (
+  SELECT *, greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - start - s)) + greatest(0, least(size, goal - start - 2 * s)) AS taken FROM k)
+SELECT doc_id, size, s AS source_size, target, CAST(taken AS BIGINT) AS taken,
+  CASE WHEN taken > 0 THEN least(1.0::DOUBLE, CASE r % 3
+    WHEN 0 THEN sqrt(0.25::DOUBLE + x * 2) - 0.5
+    WHEN 1 THEN x
+    ELSE CASE WHEN x <= 0.625 THEN (sqrt(greatest(0::DOUBLE, 2.25 - 2 * x)) - 1.5) / -1 ELSE 0.5 + (sqrt(greatest(0::DOUBLE, 1 - 2 * (x - 0.625))) - 1) / -1 END END) END AS first_position
+FROM n""",
     "op8_exact_dedup": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
