@@ -50,6 +50,10 @@ def json_value(doc: Column | str, path: str, kind: str, native: bool | None = No
 _ORDER = {"<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
 
 
+def _field(name: str):
+    return lambda x: x.getField(name)
+
+
 class Typed:
     """Paths over a column of documents with a declared schema (DDL of the root)."""
 
@@ -127,22 +131,25 @@ class Typed:
                     raise NotLowered(f"{name} is not declared")
                 inner = kind[name].dataType
                 # A member that is missing is not a match.
-                cur = F.filter(F.transform(cur, lambda x, n=name: x.getField(n)), lambda x: x.isNotNull()) if many else cur.getField(name)
+                cur = F.filter(F.transform(cur, _field(name)), lambda x: x.isNotNull()) if many else cur.getField(name)
                 kind = inner
                 continue
             if not isinstance(kind, T.ArrayType):
                 raise NotLowered("a selector of elements on what is not an array")
             if many:
-                cur = F.flatten(F.transform(cur, lambda x, s=step, k=kind: self._elements(s, x, k)))
+                cur = F.flatten(F.transform(cur, self._each(step, kind)))
             elif isinstance(step, A.Indexes) and len(step.indexes) == 1:
                 i = step.indexes[0]
-                cur, kind = (F.get(cur, F.lit(i)) if i >= 0 else F.try_element_at(cur, F.greatest(F.lit(i), -F.size(cur)).cast("int"))), kind.elementType
+                cur, kind = F.get(cur, F.lit(i) if i >= 0 else F.greatest(F.size(cur) + i, F.lit(0))), kind.elementType
                 continue
             else:
                 cur = F.coalesce(self._elements(step, cur, kind), F.array().cast(T.ArrayType(kind.elementType)))
             kind, many = kind.elementType, True
         return cur, kind, many
 
+    def _each(self, step, kind: T.ArrayType):
+        return lambda x: self._elements(step, x, kind)
+
     def _elements(self, step, arr: Column, kind: T.ArrayType) -> Column:
         if isinstance(step, A.Wildcard):
             return arr
