@@ -176,7 +176,7 @@ query("functions_aggregate", aggregates, _sql("sum(l_quantity) AS total, min(l_q
 query(
     "functions_scalar",
     _values(
-        order_docs, up=("ceiling($.o_totalprice)", "bigint"), down=("floor($.o_totalprice)", "bigint"), size=("abs(-$.o_totalprice)", "double"), joined=('concat($.o_orderstatus, "-", $.flags[0])', "string"), letters=("$.o_orderstatus.length()", "bigint"), first=("$.quantities.first()", "double"), last=("$.quantities.last()", "double"),
+        order_docs, up=("ceiling($.o_totalprice)", "bigint"), down=("floor($.o_totalprice)", "bigint"), size=("abs($.o_totalprice)", "double"), joined=('concat($.o_orderstatus, "-", $.flags[0])', "string"), letters=("$.o_orderstatus.length()", "bigint"), first=("$.quantities.first()", "double"), last=("$.quantities.last()", "double"),
         second=("$.quantities.index(1)", "double"), nodes=("count($.items[*])", "bigint"), one=("value($.o_orderkey)", "bigint"), unknown=("$.o_orderkey.bogus()", "bigint"), arity=("abs($.o_orderkey, 1)", "bigint"),
     ),
     _sql("CAST(ceil(any_value(o_totalprice)) AS BIGINT) AS up, CAST(floor(any_value(o_totalprice)) AS BIGINT) AS down, any_value(o_totalprice) AS size, any_value(o_orderstatus) || '-' || max(l_returnflag) FILTER (i = 1) AS joined, CAST(length(any_value(o_orderstatus)) AS BIGINT) AS letters, max(l_quantity) FILTER (i = 1) AS first, max(l_quantity) FILTER (i = n) AS last, max(l_quantity) FILTER (i = 2) AS second, count(*) AS nodes, l_orderkey AS one, CAST(NULL AS BIGINT) AS unknown, CAST(NULL AS BIGINT) AS arity"),
