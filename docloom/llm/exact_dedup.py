@@ -74,7 +74,7 @@ def _merge(keep: str, turn: int, radix: int, rounds: int):
     return fold
 
 
-def groups(found: DataFrame, keep: str = "max", radix: int = 8, rows_per_leaf: int = 200_000) -> DataFrame:
+def groups(found: DataFrame, keep: str = "max", radix: int = 16, rows_per_leaf: int = 1_000_000) -> DataFrame:
     """(digest, n_bytes, keep_id, n) of every distinct text among ``found`` rows of :func:`digests`."""
     rows, rounds = found.count(), 1
     while radix**rounds < parts_for(rows, rows_per_leaf):
@@ -88,7 +88,7 @@ def groups(found: DataFrame, keep: str = "max", radix: int = 8, rows_per_leaf: i
     return runs.select("digest", "n_bytes", "keep_id", "n")
 
 
-def exact_duplicates(docs: DataFrame, keep: str = "max", radix: int = 8, rows_per_leaf: int = 200_000) -> DataFrame:
+def exact_duplicates(docs: DataFrame, keep: str = "max", radix: int = 16, rows_per_leaf: int = 1_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest, keep_id, group_size, kept."""
     found = stored(digests(docs), "digests")
     # Only texts with copies need the join; a large group is one row on that side, so a hot digest

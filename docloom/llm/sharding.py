@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import null_safe_text, parts_for, stored
 
+MOST = 8192
 _EXACT = 10**9 - 1  # numpy's exact generator takes populations up to this
 
 
@@ -86,7 +87,8 @@ def shuffle_into_shards(rows: DataFrame, key: str = "doc_id", ties: tuple[str, .
     spark = rows.sparkSession
     order = [F.col(f"row.{c}") for c in (key, *ties)]
     total = rows.count()
-    cells = parts_for(total, cell_rows)
+    # The matrix has cells times pieces entries: beyond MOST of either they grow instead (a sort that can spill).
+    cells, piece_rows = min(MOST, parts_for(total, cell_rows)), max(piece_rows, -(-total // MOST))
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")).withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), F.coalesce(order[0].cast("string"), F.lit(""))), F.lit(cells)).cast("int"))
     counted = {r["cell"]: r["n"] for r in packed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number per cell
     sizes = np.array([counted.get(i, 0) for i in range(cells)], np.int64)

@@ -181,7 +181,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, texts: bool = True, block_b
     """doc_id, n_words, n_removed, kept_sha256, removed (word intervals), kept_text of every row.
 
     block_bytes: text of a block; by default 8 MB, growing to 512 MB where there would be over 4096
-    blocks, so that runs stay long. range_windows: windows of a hash range, about.
+    blocks, so that runs stay long. range_windows: windows of a hash range, about, with up to 2**17 ranges.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text"))
@@ -195,7 +195,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, texts: bool = True, block_b
     # About six bytes a word.
     windows = (total["b"] or 0) / 6
     bits = 0
-    while (1 << bits) * range_windows < windows:
+    while (1 << bits) * range_windows < windows and bits < 17:
         bits += 1
     runs = dealt.groupBy("block").applyInArrow(_runs(width, bits), "block int, part int, run binary")
     answers = runs.groupBy("part").applyInArrow(_answers, "block int, run binary")

@@ -50,8 +50,9 @@ def _hashed(df: DataFrame, expr: Column) -> DataFrame:
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """(verdict, host, path) tuples as a table."""
-    return spark.createDataFrame(rules, "verdict string, host string, path string")
+    """(verdict, host, path) tuples as a table of constants, of a size that Spark knows."""
+    rows = [F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules]
+    return spark.range(1).select(F.inline(F.array(*rows).cast("array<struct<verdict:string,host:string,path:string>>")))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
