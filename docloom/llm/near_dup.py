@@ -14,8 +14,9 @@ With ``bands`` = 27 and ``rows`` = 4, a pair at exactly 0.8 shares no band with
 2. In each band bucket, every class is paired with the bucket's smallest class only. Verified links
    give components.
 3. A bucket whose classes are all in one component is settled. In what is left, pairs from different
-   components are estimated block against block (sketches only, no pair is written unless its
-   estimate can reach the threshold), and those verified too. No partner is capped or dropped.
+   components are compared block against block (by their sketches' estimate and by an upper bound from
+   bitmaps of the sets; only a pair that passes both is written), and those verified too. No partner is
+   capped or dropped.
 
 Documents without words link with nothing. Fewer words than k: the whole sequence is the one shingle.
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_stored, mix64, null_safe_text, stored, window_hashes, word_hashes
+from .common import bound_batches, chunks, drop_stored, mix64, null_safe_text, stored, window_hashes, word_hashes
 
 MANTISSA = 10
 #: Expected share of equal registers of disjoint sets of equal size, times 2**MANTISSA.
@@ -187,29 +188,76 @@ def _likely(pairs: DataFrame, classes: DataFrame, registers: int, least: float)
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A set as a bitmap with 16 bits or more for each member, a power of two of them."""
+    bits = np.zeros(max(64, 1 << (16 * len(shingles) - 1).bit_length()) if len(shingles) else 64, np.uint8)
+    bits[(shingles & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set with ``size`` bytes."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size)) if len(bits) > size else bits
+
+
+def may_link(n: np.ndarray, m: np.ndarray, x: list[np.ndarray], y: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs (left of x, right of y) can be linked, by an upper bound of their intersections.
+
+    A bit of one set that the other lacks stands for at least one member that the other lacks.
+    """
+    ok = np.zeros(len(left), bool)
+    wide = np.minimum(np.array([len(b) for b in x])[left], np.array([len(b) for b in y])[right])
+    for size in np.unique(wide):
+        here = np.flatnonzero(wide == size)
+        (i, li), (j, rj) = np.unique(left[here], return_inverse=True), np.unique(right[here], return_inverse=True)
+        a, b = (np.stack([folded(z[c], size) for c in cs]).view(np.uint64) for z, cs in ((x, i), (y, j)))
+        step = max(1, (4 << 20) // int(size))
+        for at in range(0, len(here), step):
+            p, q = a[li[at : at + step]], b[rj[at : at + step]]
+            who = here[at : at + step]
+            most = np.minimum(n[left[who]] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), m[right[who]] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
+            ok[who] = most * (100 + percent) >= percent * (n[left[who]] + m[right[who]])
+    return ok
+
+
+def _bitmaps(texts: DataFrame, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(s).tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["id", "bits"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, bits binary")
+
+
 def _across(entries: DataFrame, registers: int, least: float, percent: int, block: int) -> DataFrame:
-    """Likely pairs from different components within a bucket, block against block."""
+    """Pairs from different components within a bucket that may be linked, block against block.
+
+    Sketches give estimates and bitmaps an upper bound, both before any pair is written: look-alikes
+    just below the threshold, however many, do not become rows.
+    """
     grouped = entries.withColumn("r", F.xxhash64(F.lit(7), "id"))
     sizes = grouped.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     dealt = grouped.join(sizes, "bucket").withColumn("block", F.pmod("r", F.col("blocks")).cast("int"))
-    packed = dealt.groupBy("bucket", "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("id", "comp", "n_shingles", "sketch"))).alias("rows"))
+    packed = dealt.groupBy("bucket", "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("id", "comp", "n_shingles", "sketch", "bits"))).alias("rows"))
     left = packed.select("bucket", F.col("block").alias("i"), F.col("rows").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = packed.select("bucket", F.col("block").alias("j"), F.col("rows").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unpack(cell) -> tuple:
             s = cell.values
-            return (*(s.field(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "n_shingles")), np.frombuffer(b"".join(s.field("sketch").to_pylist()), "<u2").reshape(len(s), registers))
+            numbers = (s.field(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "n_shingles"))
+            return (*numbers, np.frombuffer(b"".join(s.field("sketch").to_pylist()), "<u2").reshape(len(s), registers), [np.frombuffer(b, np.uint8) for b in s.field("bits").to_pylist()])
 
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                (ia, ca, na, sa), (ib, cb, nb, sb) = unpack(x), unpack(y)
+                (ia, ca, na, sa, xa), (ib, cb, nb, sb, xb) = unpack(x), unpack(y)
                 maybe = (ca[:, None] != cb[None, :]) & (np.minimum.outer(na, nb) * 100 >= np.maximum.outer(na, nb) * percent)
                 p, q = np.nonzero(maybe)
                 for at in range(0, len(p), 4096):
                     u, v = p[at : at + 4096], q[at : at + 4096]
                     good = estimated((sa[u] == sb[v]).sum(1), registers, na[u].astype(float), nb[v].astype(float)) >= least
+                    u, v = u[good], v[good]
+                    good = may_link(na, nb, xa, xb, u, v, percent)
                     found.append(np.stack([np.maximum(ia[u], ib[v]), np.minimum(ia[u], ib[v])], 1)[good])
             got = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
@@ -223,6 +271,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     slack: a candidate is verified unless its estimate is below the threshold by more than this;
     with 108 registers that is over five standard deviations.
     """
+    bound_batches(docs.sparkSession)
     registers, least = bands * rows, percent / 100 - slack
     seen = stored(sketches(docs, k, registers), "sketches")
     # 1. One row per distinct set.
@@ -244,7 +293,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # 3. What the stars left open: buckets of three or more whose other members are not in one component.
     others = members.where("members > 2").where(F.col("id") != F.col("hub")).join(comp, "id")
     open_ = others.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    rest = others.join(open_, "bucket", "left_semi").select("bucket", "id", "comp").join(classes.select("id", "n_shingles", "sketch"), "id")
+    rest = stored(others.join(open_, "bucket", "left_semi").select("bucket", "id", "comp"), "rest")
+    left = texts.join(rest.select("id").distinct(), "id", "left_semi")
+    rest = rest.join(classes.select("id", "n_shingles", "sketch"), "id").join(_bitmaps(left, k), "id")
     more = stored(_across(rest, registers, least, percent, block), "across")
     if more.limit(1).count():
         found = stored(verified(more, texts, k, percent), "links")
