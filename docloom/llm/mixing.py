@@ -25,16 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import null_safe_text, parts_for, stored
 
-WORD = r"[^\x20\x09-\x0D]+"
 #: (time, relative weight) knots, by turns over the sources: rising, flat, falling.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
 
 
 def word_count(text: Column) -> Column:
-    """Number of words: separators become spaces, and word starts are counted."""
-    spaced = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    squeezed = F.trim(F.regexp_replace(spaced, "  +", " "))
-    return F.when(squeezed == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """Number of words: pieces between separators, but for the empty ones at either end."""
+    outer = lambda at: F.when(F.instr(F.lit(" \t\n\x0b\x0c\r"), F.substring(text, at, 1)) > 0, 1).otherwise(0)
+    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"[\x20\x09-\x0D]+", -1)) - outer(1) - outer(-1)).cast("long")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -73,7 +71,7 @@ def invert_schedule(share: Column, knots: tuple[tuple[float, float], ...]) -> Co
     return F.least(F.lit(knots[-1][0]), out.otherwise(F.lit(knots[-1][0])))
 
 
-def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, bucket_rows: int = 4000) -> DataFrame:
+def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, bucket_rows: int = 1000) -> DataFrame:
     """Each document with what the mix takes of it.
 
     doc_id, source, size, source_size, target, start (words of its source before it), taken (words,
@@ -82,9 +80,10 @@ def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: in
     sizes = stored(sized(docs), "sizes")
     targets = stored(source_targets(sizes, weights, max_repeat), "targets")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    # As many buckets as keep each within bucket_rows rows, for the largest source.
+    # As many buckets as keep each within bucket_rows rows, for the largest source; up to 200,000, as a
+    # source's buckets are summed in one task.
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
-    n = parts_for(largest, bucket_rows)
+    n = min(200_000, parts_for(largest, bucket_rows))
     rows = sizes.withColumn("key", key).withColumn("bucket", (F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * n / F.lit(16**7)).cast("int"))
     per = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
