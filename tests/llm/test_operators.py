@@ -516,3 +516,17 @@ def test_chunks_of_very_long_text():
     got = [(a, b) for a, b, _, _ in common.chunks(col)]
     assert got == [(0, 1), (1, 2), (2, 4)]
     assert [len(s) for s in near_dup.shingle_sets(col, 4)] == [1, 1, 0, 1]
+
+
+def test_license_stems():
+    """Every rule's mandatory part holds a stem: so does any text that it matches, here made by the pattern's shortest reading."""
+    found = license_scan.stems(license_scan.RULES)
+    for r in license_scan.RULES:
+        shortest = r.pattern
+        while "(?:" in shortest:
+            shortest = re.sub(r"\(\?:([^()|]*)[^()]*\)(\??)", lambda m: "" if m[2] else m[1], shortest, count=1)
+        shortest = re.sub(r"\[(.)[^]]*\](\??)", lambda m: "" if m[2] else m[1], shortest)
+        shortest = re.sub(r".\?", "", shortest)
+        assert re.fullmatch(r.pattern, shortest), r
+        assert any(x in f" {shortest} " for x in found), r
+    assert len(found) < 40

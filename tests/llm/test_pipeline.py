@@ -93,3 +93,35 @@ def test_query_against_sql(spark, name):
         return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.itertuples(index=False)), key=repr)
 
     assert rows(a) == rows(b)
+
+
+def awkward(spark, empty=False):
+    """Documents with nulls everywhere, repeated rows, empty and long texts, and columns that operators use themselves."""
+    good = [(i, " ".join(f"w{(i * 37 + j * 11) % 97}" for j in range(30 + i)), f"s{i % 3}", "en", 1) for i in range(20)]
+    rows = [*good, good[3], good[3], (None, good[4][1], "s1", None, None), (None, None, None, None, None), (50, None, "s1", "en", 0), (51, "", None, "en", 0), (52, "long " * 20_000, "s2", "en", 1), (53, good[5][1], None, None, 1)]
+    docs = spark.createDataFrame([] if empty else rows, "doc_id long, text string, source string, lang string, n_chars long")
+    for c in ("digest", "row", "score", "size", "copies", "id", "comp", "words", "bucket", "sketch", "n", "leaf", "keep_id", "rank", "target", "a", "b"):
+        docs = docs.withColumn(c, docs.lang)
+    return docs
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_awkward_rows_pass_every_stage(spark, empty):
+    docs = awkward(spark, empty)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, docs, D), name)
+        rows = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns
+        if empty:
+            assert rows == []
+        if name == "exact_dedup" and not empty:
+            texts = [r.text or "" for r in rows]
+            assert Counter(r.doc_id for r in rows)[3] in (0, 3)  # repeated rows are one document
+            assert len({t for t in texts}) == len({r.text or "" for r in docs.collect()})
+        if name == "mixing" and not empty:
+            assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()} and all((r.text or "").split() for r in rows)
+        docs = out
+    # Each stage also takes the awkward rows themselves, not only what is left of them.
+    for name, stage in corpus_pipeline.STAGES:
+        assert (stage(spark, awkward(spark, empty), D).count() == 0) == empty
