@@ -2,8 +2,8 @@
 
 Native: DataFrame functions only. The text is reduced to its words (A-Z folded, words are
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``) with one space around each; a rule is a regular expression over
-that form, so a detection is an interval of words. A rule is run only on texts that hold its keyword, and
-texts without any keyword run none. Where detections overlap, one whose interval lies inside another's
+that form, so a detection is an interval of words. A rule is run only on texts that hold its keyword; a few
+stems, one of which every detection holds, are looked for first. Where detections overlap, one whose interval lies inside another's
 is dropped if the other's rule has at least its priority; of equal intervals the higher priority, then
 the earlier rule, stays.
 
@@ -19,13 +19,14 @@ own; an empty table gives an empty result. Columns besides doc_id and text are n
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import null_safe_text, stored
-from .url_filter import LOWER, UPPER
 
 #: Phrase and label, in order.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -184,10 +185,33 @@ def _rules() -> tuple[Rule, ...]:
 RULES = _rules()
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, each with one space on either side; a single space if there are none."""
-    bare = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    return F.when(bare == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
+#: Character sequences of which every detection holds one; the rest of the rules' keywords are added below.
+_STEMS = ("licen", "gpl", "spdx", " cc ", "creative commons", "bsd", "permission", "redistribut", "attribution")
+_OPTIONAL = re.compile(r"\(\?:[^()]*\)\??|\[[^]]*\]\??|.\?")
+
+
+def stems(rules: tuple[Rule, ...]) -> tuple[str, ...]:
+    """Texts without any of these hold no detection: a stem stands in the mandatory part of its rules, else their keyword is one."""
+    out = list(_STEMS)
+    for r in rules:
+        sure = f" {_OPTIONAL.sub('|', r.pattern)} "
+        if not any(x in sure or x in r.keyword for x in out):
+            out.append(r.keyword)
+    return tuple(out)
+
+
+def folded(text: Column) -> Column:
+    """A-Z folded. Other letters are too, which no pattern or count can tell, but the two whose folded form holds a-z are changed first."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131")))
+
+
+def with_words(texts: DataFrame) -> DataFrame:
+    """(doc_id, words): the words of a text, each with one space on either side; a single space if there are none.
+
+    Two projections, so that the text is folded and split once.
+    """
+    bare = texts.select("doc_id", F.trim(F.regexp_replace(folded(F.col("text")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")).alias("bare"))
+    return bare.select("doc_id", F.when(F.col("bare") == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), "bare", F.lit(" "))).alias("words"))
 
 
 def _spaces(x: Column) -> Column:
@@ -217,13 +241,15 @@ def _hits(words: Column, rules: tuple[Rule, ...]) -> Column:
         return F.transform(F.arrays_zip(hits.alias("hit"), pieces.alias("piece")), lambda z, i: F.struct(r["rule"].alias("rule"), i.alias("i"), _spaces(z["piece"]).alias("gap"), _spaces(z["hit"]).alias("size")))
 
     held = F.flatten(F.transform(F.filter(table, lambda g: F.contains(words, g["keyword"])), lambda g: g["rules"]))
-    return F.filter(F.flatten(F.transform(held, found)), lambda h: h["size"].isNotNull())
+    hits = F.filter(F.flatten(F.transform(held, found)), lambda h: h["size"].isNotNull())
+    none = F.array().cast("array<struct<rule:int,i:int,gap:int,size:int>>")
+    return F.when(reduce(Column.__or__, [F.contains(words, F.lit(x)) for x in stems(rules)]), hits).otherwise(none)
 
 
 def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     words = F.col("words")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text"))
-    held = texts.select("doc_id", words_of(F.col("text")).alias("words"))
+    held = with_words(texts)
     cols = [_base(words, phrase).alias(f"b{i}") for i, (phrase, _) in enumerate(BASE)]
     found = held.select("doc_id", (_spaces(words) - 1).cast("long").alias("n_words"), *cols, _hits(words, rules).alias("hits"), F.sha2(words, 256).alias("key"))
     return found.withColumn("key", F.when(F.size("hits") > 0, F.col("key")))
