@@ -107,6 +107,10 @@ _fast = json.JSONEncoder(ensure_ascii=False, allow_nan=False, separators=(",", "
 
 def dumps(value: Any) -> str:
     """Compact text. Only a value with exponents takes the slow way."""
+    if type(value) is str:
+        return encode_basestring(value)
+    if type(value) is int:
+        return str(value)
     try:
         text = _fast(value)
         if not _EXPONENT.search(text):

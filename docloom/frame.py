@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import functions as J
-from .operators.edits import edit_text
-from .operators.nodes import nodes
+from .operators.edits import Editor
+from .operators.nodes import COLUMNS, nodes
 
 LOG = "key string, seq bigint, op string, args array<string>"
 
@@ -52,8 +52,8 @@ class DocumentFrame:
         found = self.df.select(F.col(self.key), F.col(self.doc).alias("__doc"))
         return asked.join(found, self.key, "left").select(ordinal, self.key, J.jp_get("__doc", path).alias("value"))
 
-    def nodes(self, path: str = "$..*", root: bool = True) -> DataFrame:
-        return nodes(self.df, self.key, self.doc, path, root)
+    def nodes(self, path: str = "$..*", root: bool = True, columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
+        return nodes(self.df, self.key, self.doc, path, root, columns)
 
     # -- writes
 
@@ -94,7 +94,7 @@ def _arguments(op: str, args: list[str]) -> list[Any]:
 
 def _fold(feed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, text, started = None, None, False
+        key, editor, started = None, Editor(None), False
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             names = ["key", "seq", "event", "reply", "error"] if feed else ["key", "doc"]
@@ -106,22 +106,23 @@ def _fold(feed: bool):
             out: list[tuple] = []
             for row in batch.to_pylist():
                 if not started or row["key"] != key:
-                    if started and not feed and text is not None:
-                        out.append((key, text))
-                    key, text, started = row["key"], None, True
+                    if started and not feed and editor.result() is not None:
+                        out.append((key, editor.result()))
+                    key, editor, started = row["key"], Editor(None), True
                 if row["seq"] is None and row["op"] == "":
-                    text = row["doc"]
+                    editor = Editor(row["doc"])
                     continue
                 try:
                     args = _arguments(row["op"], row["args"] or [])
-                    text, reply, changed, error = edit_text(row["op"], text, *args)
-                except (KeyError, ValueError) as e:
+                except ValueError as e:
                     reply, changed, error = None, False, f"bad log line: {e}"
+                else:
+                    reply, changed, error = editor.apply(row["op"], *args)
                 if feed and (changed or error):
                     out.append((key, row["seq"], f"json.{row['op']}" if changed else None, reply, error))
             if out:
                 yield table(out)
-        if started and not feed and text is not None:
-            yield table([(key, text)])
+        if started and not feed and editor.result() is not None:
+            yield table([(key, editor.result())])
 
     return run

@@ -238,14 +238,14 @@ def jp_edit(name: str, doc: Column | str, *args: Any, strict: bool = False) -> C
 
 
 def jp_apply(doc: Column | str, *steps: tuple) -> Column:
-    """The document after several edits, each (name, *args), by one parse per edit and one round trip."""
+    """The document after several edits, each (name, *args), parsed and written once; the last reply, the first error."""
 
     def run(text: str | None) -> dict:
-        reply, changed, error = None, False, None
+        editor, reply, changed, error = edits.Editor(text), None, False, None
         for name, *args in steps:
-            text, reply, c, e = edits.edit_text(name, text, *args)
+            reply, c, e = editor.apply(name, *args)
             changed, error = changed or c, error or e
-        return {"doc": text, "reply": reply, "changed": changed, "error": error}
+        return {"doc": editor.result(), "reply": reply, "changed": changed, "error": error}
 
     for name, *args in steps:
         if args:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -10,28 +10,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..codec import JsonError, dumps, loads, type_name
-from ..path.evaluate import I64_MAX, I64_MIN, located
+from ..path.evaluate import I64_MAX, I64_MIN, is_number, located
 from ..path.rewrite import compile_path
 
-NODE = "path array<string>, depth int, ordinal int, parent array<string>, name string, idx int, type string, json string, long bigint, dbl double, str string, bool boolean, size int"
-_FIELDS = [("path", pa.list_(pa.string())), ("depth", pa.int32()), ("ordinal", pa.int32()), ("parent", pa.list_(pa.string())), ("name", pa.string()), ("idx", pa.int32()), ("type", pa.string()), ("json", pa.string()), ("long", pa.int64()), ("dbl", pa.float64()), ("str", pa.string()), ("bool", pa.bool_()), ("size", pa.int32())]
+#: Column: (DDL type, Arrow type, value of a node from (value, path, place in document order)).
+COLUMNS: dict[str, tuple[str, pa.DataType, Callable[[Any, tuple, int], Any]]] = {
+    "path": ("array<string>", pa.list_(pa.string()), lambda v, at, n: [str(x) for x in at]),
+    "depth": ("int", pa.int32(), lambda v, at, n: len(at)),
+    "ordinal": ("int", pa.int32(), lambda v, at, n: n),
+    "parent": ("array<string>", pa.list_(pa.string()), lambda v, at, n: [str(x) for x in at[:-1]] if at else None),
+    "name": ("string", pa.string(), lambda v, at, n: at[-1] if at and isinstance(at[-1], str) else None),
+    "idx": ("int", pa.int32(), lambda v, at, n: at[-1] if at and isinstance(at[-1], int) else None),
+    "type": ("string", pa.string(), lambda v, at, n: type_name(v)),
+    "json": ("string", pa.string(), lambda v, at, n: dumps(v)),
+    "long": ("bigint", pa.int64(), lambda v, at, n: v if isinstance(v, int) and not isinstance(v, bool) and I64_MIN <= v <= I64_MAX else None),
+    "dbl": ("double", pa.float64(), lambda v, at, n: float(v) if is_number(v) else None),
+    "str": ("string", pa.string(), lambda v, at, n: v if isinstance(v, str) else None),
+    "bool": ("boolean", pa.bool_(), lambda v, at, n: v if isinstance(v, bool) else None),
+    "size": ("int", pa.int32(), lambda v, at, n: len(v) if isinstance(v, (list, dict)) else None),
+}
+#: Nodes of an emitted batch, about.
+BATCH = 50_000
 
 
-def rows(doc: Any, found: list[tuple[Any, tuple]]) -> Iterator[tuple]:
-    for n, (v, at) in enumerate(found):
-        path = [str(x) for x in at]
-        last = at[-1] if at else None
-        number = isinstance(v, (int, float)) and not isinstance(v, bool)
-        yield (
-            path, len(at), n, path[:-1] if at else None, last if isinstance(last, str) else None, last if isinstance(last, int) else None, type_name(v), dumps(v),
-            v if number and isinstance(v, int) and I64_MIN <= v <= I64_MAX else None, float(v) if number else None, v if isinstance(v, str) else None, v if isinstance(v, bool) else None, len(v) if isinstance(v, (list, dict)) else None,
-        )
+def nodes(df: DataFrame, key: str = "key", doc: str = "doc", path: str = "$..*", root: bool = True, columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
+    """(key, columns) of every node that ``path`` finds, in document order; ``root``: the document itself too.
 
-
-def nodes(df: DataFrame, key: str = "key", doc: str = "doc", path: str = "$..*", root: bool = True) -> DataFrame:
-    """(key, node columns) of every node that ``path`` finds, in document order; ``root``: the document itself too.
-
-    A null or invalid document has no nodes.
+    Only the ``columns`` asked for are made. A null or invalid document has no nodes.
     """
     compiled = compile_path(path)
     if compiled.projection:
@@ -40,27 +45,28 @@ def nodes(df: DataFrame, key: str = "key", doc: str = "doc", path: str = "$..*",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out, count = [], [], 0
+            keys: list[int] = []
+            cells: list[list] = [[] for _ in columns]
             for i, text in enumerate(batch.column(1).to_pylist()):
-                if text is None:
-                    continue
                 try:
-                    value = loads(text)
+                    value = None if text is None else loads(text)
                 except JsonError:
                     continue
-                found = located(compiled, value)
-                made = list(rows(value, ([(value, ())] if root else []) + found))
-                keys += [i] * len(made)
-                out += made
-                count += len(made)
-                if count > 50_000:
-                    yield emit(batch, keys, out)
-                    keys, out, count = [], [], 0
-            if out:
-                yield emit(batch, keys, out)
+                if text is None:
+                    continue
+                found = ([(value, ())] if root else []) + located(compiled, value)
+                keys += [i] * len(found)
+                for cell, c in zip(cells, columns, strict=True):
+                    get = COLUMNS[c][2]
+                    cell += [get(v, at, n) for n, (v, at) in enumerate(found)]
+                if len(keys) > BATCH:
+                    yield emit(batch, keys, cells)
+                    keys, cells = [], [[] for _ in columns]
+            if keys:
+                yield emit(batch, keys, cells)
 
-    def emit(batch: pa.RecordBatch, keys: list[int], out: list[tuple]) -> pa.RecordBatch:
-        cols = [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _FIELDS, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), *cols], names=["key", *(n for n, _ in _FIELDS)])
+    def emit(batch: pa.RecordBatch, keys: list[int], cells: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), *(pa.array(x, COLUMNS[c][1]) for x, c in zip(cells, columns, strict=True))], names=["key", *columns])
 
-    return df.select(F.col(key).alias("key"), F.col(doc).alias("doc")).mapInArrow(run, f"key {kind}, {NODE}").withColumnRenamed("key", key)
+    schema = ", ".join([f"key {kind}", *(f"{c} {COLUMNS[c][0]}" for c in columns)])
+    return df.select(F.col(key).alias("key"), F.col(doc).alias("doc")).mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -296,7 +296,7 @@ query("change_feed", lambda s, d: DocumentFrame(user_docs(s, d)).apply_log(event
 
 
 def node_types(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(order_docs(spark, d)).groupBy("type", "depth").agg(F.count(F.lit(1)).alias("n"))
+    return nodes(order_docs(spark, d), columns=("type", "depth")).groupBy("type", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 query(
@@ -310,7 +310,7 @@ FROM o, (VALUES ('object', 0, 1, 0), ('integer', 1, 1, 0), ('string', 1, 1, 0),
 
 
 def node_sums(spark: SparkSession, d: str) -> DataFrame:
-    found = nodes(order_docs(spark, d), path="$.items[*].l_quantity", root=False)
+    found = nodes(order_docs(spark, d), path="$.items[*].l_quantity", root=False, columns=("dbl", "ordinal"))
     return found.groupBy("key").agg(F.sum("dbl").alias("total"), F.max("ordinal").cast("bigint").alias("last"))
 
 
@@ -318,7 +318,7 @@ query("nodes_aggregate", node_sums, _sql("sum(l_quantity) AS total, count(*) - 1
 
 
 def node_join(spark: SparkSession, d: str) -> DataFrame:
-    parts = nodes(order_docs(spark, d), path="$.items[*].l_partkey", root=False).select("key", F.col("long").alias("p_partkey"))
+    parts = nodes(order_docs(spark, d), path="$.items[*].l_partkey", root=False, columns=("long",)).select("key", F.col("long").alias("p_partkey"))
     return parts.join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
