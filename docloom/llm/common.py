@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one kernel call works on; a longer single text is a call of its own.
-CHUNK_BYTES = (1 << 20) - 8
+CHUNK_BYTES = (1 << 19) - 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -176,6 +176,6 @@ def null_safe_text(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def bound_batches(spark: SparkSession, most: str = "16m") -> None:
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
     """Arrow batches to Python are bounded by bytes too, so long texts cannot fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)

@@ -236,7 +236,8 @@ def _across(entries: DataFrame, registers: int, least: float, percent: int, bloc
     """
     grouped = entries.withColumn("r", F.xxhash64(F.lit(7), "id"))
     sizes = grouped.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    dealt = grouped.join(sizes, "bucket").withColumn("block", F.pmod("r", F.col("blocks")).cast("int"))
+    # Dealt by bucket and block, so a large bucket's blocks do not meet in one task.
+    dealt = grouped.join(sizes, "bucket").withColumn("block", F.pmod("r", F.col("blocks")).cast("int")).repartition("bucket", "block")
     packed = dealt.groupBy("bucket", "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("id", "comp", "n_shingles", "sketch", "bits"))).alias("rows"))
     left = packed.select("bucket", F.col("block").alias("i"), F.col("rows").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = packed.select("bucket", F.col("block").alias("j"), F.col("rows").alias("y"))
@@ -301,8 +302,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         found = stored(verified(more, texts, k, percent), "links")
         comp = stored(components(nodes, links.unionByName(found)), "components")
     drop_stored(texts, members)
-    class_of = classes.join(comp, "id").select(*key, "comp")
-    out = seen.drop("sketch").join(class_of, key, "left")
+    class_of = stored(classes.join(comp, "id").select(*key, "comp"), "class_of")
+    rows = seen.drop("sketch")
+    out = rows.where("n_shingles > 0").join(class_of, key, "left").unionByName(rows.where("n_shingles = 0").withColumn("comp", F.lit(None).cast("long")))
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")).unionByName(every)
