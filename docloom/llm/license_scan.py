@@ -287,8 +287,11 @@ def scan_licenses(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
     scanned = stored(_scanned(docs, rules), "scanned")
     best = surviving(_detections(scanned, rules)).groupBy("key", "label").agg(F.max("confidence").alias("confidence"))
-    per = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("label", "confidence"))).alias("found"))
-    out = scanned.drop("hits").join(per, "key", "left")
+    # Stored, so that the join deals both sides anew and a text that very many rows share can be split;
+    # rows without a detection stay out of it.
+    per = stored(best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("label", "confidence"))).alias("found")), "found")
+    rows = scanned.drop("hits")
+    out = rows.where("key is not null").join(per, "key", "left").unionByName(rows.where("key is null").withColumn("found", F.lit(None).cast(per.schema["found"].dataType)))
     bases = [F.col(f"b{i}") for i in range(len(BASE))]
     stand = F.filter(F.array(*[F.when(b.isNotNull(), F.lit(label)) for b, (_, label) in zip(bases, BASE, strict=True)]), lambda x: x.isNotNull())
     own = F.coalesce(F.col("found.label"), F.array().cast("array<string>"))
