@@ -281,7 +281,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # 2. Band buckets; each class with the smallest of its bucket.
     band = lambda i: F.xxhash64(F.lit(i), F.substring("sketch", 2 * rows * i + 1, 2 * rows))
     entries = classes.select("id", "n_shingles", F.explode(F.array(*[band(i) for i in range(bands)])).alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min(F.struct("id", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    # What is joined back by bucket is stored first: then a bucket with very many classes can be split.
+    shared = stored(entries.groupBy("bucket").agg(F.min(F.struct("id", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
     members = stored(entries.join(shared, "bucket").select("bucket", "id", "n_shingles", F.col("hub.id").alias("hub"), F.col("hub.n_shingles").alias("hub_n"), "members"), "members")
     stars = members.where(F.col("id") != F.col("hub")).where(_close(F.col("n_shingles"), F.col("hub_n"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     tried = stored(_likely(stars, classes, registers, least), "tried")
@@ -293,7 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     comp = stored(components(nodes, links), "components")
     # 3. What the stars left open: buckets of three or more whose other members are not in one component.
     others = members.where("members > 2").where(F.col("id") != F.col("hub")).join(comp, "id")
-    open_ = others.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    open_ = stored(others.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket"), "open")
     rest = stored(others.join(open_, "bucket", "left_semi").select("bucket", "id", "comp"), "rest")
     left = texts.join(rest.select("id").distinct(), "id", "left_semi")
     rest = rest.join(classes.select("id", "n_shingles", "sketch"), "id").join(_bitmaps(left, k), "id")
