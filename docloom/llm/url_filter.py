@@ -70,8 +70,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     # Equi-join on the short prefix; everything after it confirms.
     hit = asked.join(known, F.col("short") == F.col("rule_short"), "inner").where("digest = rule_digest and suffix = rule_host and startswith(path, rule_path)")
     rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("host_size"), F.col("rule_verdict").alias("verdict"), F.concat("rule_host", "rule_path").alias("rule"))
-    # Stored, so that the join deals both sides anew and a URL that very many rows share can be split.
+    # Stored, so that the join deals both sides anew and a URL that very many rows share can be split; never
+    # broadcast, as it grows with the pages.
     best = stored(hit.groupBy("url").agg(F.max(rank).alias("best")), "best")
-    out = base.where("url is not null").join(best, "url", "left").unionByName(base.where("url is null").select("url", "id", F.lit(None).cast(best.schema["best"].dataType).alias("best")))
+    out = base.where("url is not null").join(best.hint("merge"), "url", "left").unionByName(base.where("url is null").select("url", "id", F.lit(None).cast(best.schema["best"].dataType).alias("best")))
     host, path = url_parts(F.col("url"))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
