@@ -35,7 +35,7 @@ BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 class Rule(NamedTuple):
     label: str
     priority: int  # 3 text of the license, 2 name with version or grant, 1 bare name
-    keyword: str
+    keyword: str  # begins a word of every text that the pattern matches
     pattern: str  # over words joined by one space
     confidence: float
 
@@ -73,7 +73,8 @@ def _rules() -> tuple[Rule, ...]:
         ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd(?: 3 clause)? license"),
         ("bsd-3-clause", "bsd", r"bsd 3 clause(?: new| revised| modified)?(?: license)?"),
         ("bsd-4-clause", "bsd", r"(?:original|4 clause|four clause) bsd license"),
-        ("0bsd", "bsd", r"(?:zero clause bsd|0 ?bsd|bsd zero clause)(?: license)?"),
+        ("0bsd", "bsd", r"(?:zero clause bsd|0 bsd|bsd zero clause)(?: license)?"),
+        ("0bsd", "0bsd", r"0bsd(?: license)?"),
         ("bsd", "bsd", r"bsd (?:style )?license"),
         ("mpl-1.1", "mozilla", r"mozilla public license (?:v |version )?1 1"),
         ("mpl-2.0", "mozilla", r"mozilla public license (?:v |version )?2(?: 0)?"),
@@ -122,12 +123,13 @@ def _rules() -> tuple[Rule, ...]:
         ("blueoak-1.0.0", "oak", r"blue oak model license(?: 1 0 0)?"),
         ("mulan-psl-2.0", "mulan", r"mulan (?:psl|permissive software license)(?: (?:v |version )?2)?"),
         ("upl-1.0", "universal", r"universal permissive license(?: (?:v |version )?1(?: 0)?)?"),
-        ("openrail", "rail", r"(?:creative ml |bigscience |bigcode )?open ?rail(?: m)?(?: license)?"),
+        ("openrail", "rail", r"(?:creative ml |bigscience |bigcode )?open rail(?: m)?(?: license)?"),
+        ("openrail", "openrail", r"(?:creative ml |bigscience |bigcode )?openrail(?: m)?(?: license)?"),
     )
     for label, keyword, name in names:
         add(label, 1, keyword, name, 0.7)
     # The same names in a grant or a notice say more than a mention.
-    for label, keyword, name in names[:64]:
+    for label, keyword, name in names[:65]:
         add(label, 2, keyword, rf"(?:licensed|released|distributed|available|provided|published|redistributed|used) (?:to you )?(?:only )?(?:under|according to|subject to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}", 0.95)
     # SPDX tags: the identifier as it reads once reduced to words.
     tags = (

@@ -530,3 +530,53 @@ def test_license_stems():
         assert re.fullmatch(r.pattern, shortest), r
         assert any(x in f" {shortest} " for x in found), r
     assert len(found) < 40
+
+
+def readings(pattern):
+    """Every text that a rule's pattern matches."""
+    at = 0
+
+    def choice():
+        nonlocal at
+        out = []
+        while True:
+            out += sequence()
+            if at == len(pattern) or pattern[at] == ")":
+                return out
+            at += 1
+
+    def sequence():
+        nonlocal at
+        out = [""]
+        while at < len(pattern) and pattern[at] not in "|)":
+            if pattern.startswith("(?:", at):
+                at += 3
+                piece = choice()
+                at += 1
+            elif pattern[at] == "[":
+                end = pattern.index("]", at)
+                low, high = pattern[at + 1], pattern[end - 1]
+                piece, at = [chr(c) for c in range(ord(low), ord(high) + 1)], end + 1
+            else:
+                piece, at = [pattern[at]], at + 1
+            if at < len(pattern) and pattern[at] == "?":
+                piece, at = [*piece, ""], at + 1
+            out = [a + b for a in out for b in piece]
+        return out
+
+    return choice()
+
+
+def test_license_keywords_and_stems_lose_no_match():
+    """Whatever a rule matches holds its keyword at the start of a word, and a stem."""
+    found = license_scan.stems(license_scan.RULES)
+    for r in license_scan.RULES:
+        for text in readings(r.pattern):
+            assert f" {r.keyword}" in f" {text} " and any(x in f" {text} " for x in found), (r, text)
+        assert re.fullmatch(r.pattern, text), (r, text)
+
+
+def test_license_names_within_a_word(spark):
+    texts = {"OpenRAIL-M license": ("openrail", 0.7), "under BigScience Open RAIL M": ("openrail", 0.7), "released under the 0BSD license": ("0bsd", 0.95), "0BSD": ("0bsd", 0.7), "Zero-Clause BSD": ("0bsd", 0.7)}
+    got = license_scan.scan_licenses(frame(spark, list(texts))).collect()
+    assert {list(texts)[r.doc_id]: (r.labels, round(r.score, 9)) for r in got} == texts
