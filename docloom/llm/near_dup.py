@@ -21,7 +21,8 @@ With ``bands`` = 27 and ``rows`` = 4, a pair at exactly 0.8 shares no band with
 Documents without words link with nothing. Fewer words than k: the whole sequence is the one shingle.
 
 Defined results: null text is empty; a null doc_id takes part in nothing and is its own component
-(null), kept; repeated rows share their id's verdict; an empty table gives an empty result.
+(null), kept; rows with one and the same id are one document, which is linked by any of their texts, and
+share its verdict (n_shingles is each row's own); an empty table gives an empty result.
 Columns besides doc_id and text are not read.
 """
 
@@ -39,7 +40,7 @@ from .common import bound_batches, chunks, drop_stored, mix64, null_safe_text, s
 MANTISSA = 10
 #: Expected share of equal registers of disjoint sets of equal size, times 2**MANTISSA.
 COLLISION = 0.169919487159739
-SKETCH = "doc_id long, n_shingles long, set_xor long, set_sum long, sketch binary"
+SKETCH = "doc_id long, text_hash long, n_shingles long, set_xor long, set_sum long, sketch binary"
 
 
 def shingle_sets(col: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -83,18 +84,23 @@ def estimated(equal: np.ndarray, registers: int, n: np.ndarray, m: np.ndarray) -
     return np.maximum(0.0, (equal - chance) / (registers - chance))
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text); the first two tell the texts of rows with one and the same id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+
 def sketches(docs: DataFrame, k: int, registers: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt, odd = _functions(registers)
         for batch in batches:
             n, xor, total, out = [], [], [], []
-            for s in shingle_sets(batch.column(1), k):
+            for s in shingle_sets(batch.column(2), k):
                 m = mix64(s ^ np.uint64(0x5851F42D4C957F2D))
                 n.append(len(s)), xor.append(np.bitwise_xor.reduce(s, initial=np.uint64(0))), total.append(m.sum(dtype=np.uint64))
                 out.append(sketch(s, salt, odd).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (xor, total)), pa.array(out, pa.binary())], names=["doc_id", "n_shingles", "set_xor", "set_sum", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (xor, total)), pa.array(out, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "set_xor", "set_sum", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text")).where("doc_id is not null").mapInArrow(run, SKETCH)
+    return _hashed(docs).where("doc_id is not null").mapInArrow(run, SKETCH)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -275,9 +281,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     bound_batches(docs.sparkSession)
     registers, least = bands * rows, percent / 100 - slack
     seen = stored(sketches(docs, k, registers), "sketches")
-    # 1. One row per distinct set.
+    # 1. One row per distinct set, with an id of its own: several sets may have the same smallest doc_id.
     key = ["n_shingles", "set_xor", "set_sum"]
-    classes = stored(seen.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
+    sets = seen.where("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("sketch").alias("sketch"))
+    classes = stored(sets.select(F.monotonically_increasing_id().alias("id"), *key, "of.doc_id", "of.text_hash", "sketch"), "classes")
     # 2. Band buckets; each class with the smallest of its bucket.
     band = lambda i: F.xxhash64(F.lit(i), F.substring("sketch", 2 * rows * i + 1, 2 * rows))
     entries = classes.select("id", "n_shingles", F.explode(F.array(*[band(i) for i in range(bands)])).alias("bucket"))
@@ -287,9 +294,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     stars = members.where(F.col("id") != F.col("hub")).where(_close(F.col("n_shingles"), F.col("hub_n"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     tried = stored(_likely(stars, classes, registers, least), "tried")
     # Texts that any verification can need: those of classes in a shared bucket.
-    wanted = members.select("id").distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), null_safe_text().alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    wanted = classes.select("id", "doc_id", "text_hash").join(members.select("id").distinct(), "id", "left_semi")
+    texts = stored(_hashed(docs).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("id", "text"), "texts")
     links = stored(verified(tried, texts, k, percent), "links")
+    # Rows of one doc_id with different sets are one document, so their classes are linked.
+    many = stored(seen.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low <> high").select("doc_id"), "many")
+    several = many.limit(1).count() > 0
+    if several:
+        own = stored(seen.select("doc_id", *key).join(many, "doc_id").join(classes.select("id", *key), key).select("doc_id", "id").distinct(), "own")
+        first = stored(own.groupBy("doc_id").agg(F.min("id").alias("b")), "first")
+        links = stored(links.unionByName(own.join(first, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")), "links")
     nodes = classes.select("id")
     comp = stored(components(nodes, links), "components")
     # 3. What the stars left open: buckets of three or more whose other members are not in one component.
@@ -303,9 +317,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         found = stored(verified(more, texts, k, percent), "links")
         comp = stored(components(nodes, links.unionByName(found)), "components")
     drop_stored(texts, members)
-    class_of = stored(classes.join(comp, "id").select(*key, "comp"), "class_of")
-    rows = seen.drop("sketch")
-    out = rows.where("n_shingles > 0").join(class_of, key, "left").unionByName(rows.where("n_shingles = 0").withColumn("comp", F.lit(None).cast("long")))
+    # A component is named by its smallest doc_id; stored, so that a large one can be split.
+    class_of = stored(classes.join(comp, "id").select(*key, "doc_id", "comp"), "class_of")
+    names = stored(class_of.groupBy("comp").agg(F.min("doc_id").alias("name")), "names")
+    named = stored(class_of.join(names, "comp").select(*key, F.col("name").alias("comp")), "named")
+    rows = seen.drop("sketch", "text_hash")
+    bare = rows.where("n_shingles = 0")
+    if several:
+        bare = bare.join(own.join(comp, "id").join(names, "comp").groupBy("doc_id").agg(F.min("name").alias("comp")), "doc_id", "left")
+    else:
+        bare = bare.withColumn("comp", F.lit(None).cast("long"))
+    out = rows.where("n_shingles > 0").join(named, key, "left").unionByName(bare)
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")).unionByName(every)

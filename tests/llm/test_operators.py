@@ -305,6 +305,18 @@ def test_near_duplicates_edges(spark):
     assert sorted(x.doc_id or -1 for x in near_dup.drop_near_duplicates(df).collect()) == [-1, 2, 2]
 
 
+def test_near_duplicates_with_several_texts_under_one_id(spark):
+    """An id is linked by each of its texts; every row comes out once."""
+    base = {c: words(40, 70 + i, 10**6) for i, c in enumerate("pqrs")}
+    near = lambda c, i: " ".join([*base[c][:39], f"x{i}"])
+    rows = [(5, near("p", 1)), (5, near("q", 1)), (5, near("q", 1)), (1, near("p", 2)), (9, near("q", 2)), (3, near("r", 1)), (3, ""), (2, near("r", 2)), (3, "  "), (7, ""), (8, near("s", 1)), (20, near("s", 1)), (20, near("s", 2))]
+    rows += [(30 + i % 2, " ".join(words(20, 900 + i, 10**6))) for i in range(12)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=4, percent=80).collect()
+    comp = {5: 1, 1: 1, 9: 1, 3: 2, 2: 2, 7: 7, 8: 8, 20: 8, 30: 30, 31: 31}
+    want = [(i, max(0, len(t.split()) - 3), comp[i], comp[i] == i) for i, t in rows]
+    assert sorted(tuple(x) for x in got) == sorted(want)
+
+
 def test_sketch_registers():
     salt, odd = near_dup._functions(400)
     s = near_dup.mix64(np.arange(3000, dtype=np.uint64))
