@@ -20,9 +20,10 @@ With ``bands`` = 27 and ``rows`` = 4, a pair at exactly 0.8 shares no band with
 
 Documents without words link with nothing. Fewer words than k: the whole sequence is the one shingle.
 
-Defined results: null text is empty; a null doc_id takes part in nothing and is its own component
-(null), kept; rows with one and the same id are one document, which is linked by any of their texts, and
-share its verdict (n_shingles is each row's own); an empty table gives an empty result.
+Defined results: null text is empty; a row with a null doc_id has its set size, links with nothing, as
+no id can name its component (null), and is kept; rows with one and the same id are one document, which
+is linked by any of their texts, and share its verdict (n_shingles is each row's own); an empty table
+gives an empty result.
 Columns besides doc_id and text are not read.
 """
 
@@ -100,7 +101,7 @@ def sketches(docs: DataFrame, k: int, registers: int) -> DataFrame:
                 out.append(sketch(s, salt, odd).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (xor, total)), pa.array(out, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "set_xor", "set_sum", "sketch"])
 
-    return _hashed(docs).where("doc_id is not null").mapInArrow(run, SKETCH)
+    return _hashed(docs).mapInArrow(run, SKETCH)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -280,7 +281,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """
     bound_batches(docs.sparkSession)
     registers, least = bands * rows, percent / 100 - slack
-    seen = stored(sketches(docs, k, registers), "sketches")
+    every = stored(sketches(docs, k, registers), "sketches")
+    seen = every.where("doc_id is not null")
     # 1. One row per distinct set, with an id of its own: several sets may have the same smallest doc_id.
     key = ["n_shingles", "set_xor", "set_sum"]
     sets = seen.where("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("sketch").alias("sketch"))
@@ -328,9 +330,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     else:
         bare = bare.withColumn("comp", F.lit(None).cast("long"))
     out = rows.where("n_shingles > 0").join(named, key, "left").unionByName(bare)
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    nameless = every.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     component = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")).unionByName(every)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")).unionByName(nameless)
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -305,6 +305,12 @@ def test_near_duplicates_edges(spark):
     assert sorted(x.doc_id or -1 for x in near_dup.drop_near_duplicates(df).collect()) == [-1, 2, 2]
 
 
+def test_near_duplicates_null_ids_have_their_set_size(spark):
+    rows = [(None, "a b c d e f"), (None, None), (None, "x"), (2, "a b c d e f")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, n_shingles={n}, component_id={i}, kept=True)" for i, n in ((None, 2), (None, 0), (None, 1), (2, 2)))
+
+
 def test_near_duplicates_with_several_texts_under_one_id(spark):
     """An id is linked by each of its texts; every row comes out once."""
     base = {c: words(40, 70 + i, 10**6) for i, c in enumerate("pqrs")}
