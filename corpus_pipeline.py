@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import stored, table
 from docloom.llm.exact_dedup import drop_exact_duplicates
-from docloom.llm.mixing import placed
+from docloom.llm.mixing import schedule
 from docloom.llm.near_dup import drop_near_duplicates
 from docloom.llm.packing import pack_documents
 from docloom.llm.quality import keep_quality
@@ -34,11 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; a document of which it takes a part counts as taken."""
-    times = placed(docs, weights=(5, 2, 1), max_repeat=3).groupBy("doc_id").agg(F.max(F.size("copies")).alias("__times"))
-    joined = docs.join(times.select(F.col("doc_id").alias("__id"), "__times"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    """Each document as often as the mix takes it, in the order of training; a document of which it takes a part counts as taken."""
+    # Rows that share an id have its copies in common: one for each pass, at the first of their positions.
+    plan = schedule(docs, weights=(5, 2, 1), max_repeat=3).groupBy("doc_id", "pass").agg(F.min("position").alias("__position"))
+    joined = docs.join(plan.select(F.col("doc_id").alias("__id"), F.col("pass").alias("__pass"), "__position"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
     names = docs.columns
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "__times")))).where("__times > 0").select(*[F.col(f"`{c}`") for c in names])
+    return joined.orderBy("__position", "__id", "__pass").select(*[F.col(f"`{c}`") for c in names])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from docloom.llm import queries
+from docloom.llm import mixing, queries
 from docloom.llm.common import stored
 
 from .test_operators import near_by_hand, targets_by_hand
@@ -65,6 +65,12 @@ def test_mixing(stages):
     assert all(abs(got[s] - want[s]) <= longest[s] for s in per)
 
 
+def test_mixing_is_in_the_order_of_training(spark, stages):
+    docs = spark.createDataFrame(stages["mixing"][0]).repartition(5)
+    got = [r.doc_id for r in corpus_pipeline.mix(spark, docs, D).collect()]
+    assert got == [r.doc_id for r in mixing.schedule(docs).collect()]
+
+
 def test_packing(stages):
     before, after = stages["packing"]
     assert Counter(after[after.piece == 0].doc_id) == Counter(before.doc_id)
