@@ -20,7 +20,6 @@ than shards some shards are empty; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import null_safe_text, parts_for, stored
 
 MOST = 8192
-_EXACT = 10**9 - 1  # numpy's exact generator takes populations up to this
+_EXACT = 10**9 - 1  # numpy's generator takes populations up to this
 
 
 def split_counts(rng: np.random.Generator, capacity: np.ndarray, draw: int) -> np.ndarray:
@@ -43,13 +42,19 @@ def split_counts(rng: np.random.Generator, capacity: np.ndarray, draw: int) -> n
         return capacity.copy()
     if total <= _EXACT:
         return rng.multivariate_hypergeometric(capacity, draw, method="marginals")
-    out, left = np.zeros_like(capacity), total  # normal approximation; the totals stay exact
-    for i, c in enumerate(map(int, capacity)):
-        low, high = max(0, draw - (left - c)), min(c, draw)
-        mean, var = draw * c / left, draw * (c / left) * (1 - c / left) * (left - draw) / max(1, left - 1)
-        out[i] = min(high, max(low, round(rng.normal(mean, math.sqrt(max(0.0, var))))))
-        draw, left = draw - int(out[i]), left - c
-    return out
+    if 2 * draw > total:
+        return capacity - split_counts(rng, capacity, total - draw)
+    if draw <= 64:  # one after the other
+        out = np.zeros_like(capacity)
+        for _ in range(draw):
+            left = np.cumsum(capacity - out)
+            out[np.searchsorted(left, rng.integers(left[-1]), side="right")] += 1
+        return out
+    # Every row is taken by itself with the wanted share. Given how many that gives, they are a uniform sample,
+    # so what is over is drawn back out of them, and what is short out of the rest: about sqrt(draw) rows.
+    out = rng.binomial(capacity, draw / total)
+    over = int(out.sum()) - draw
+    return out - split_counts(rng, out, over) if over > 0 else out + split_counts(rng, capacity - out, -over)
 
 
 def matrix_row(cell: int, rows: np.ndarray, capacity: np.ndarray, seed: int) -> np.ndarray:

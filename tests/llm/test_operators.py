@@ -240,6 +240,19 @@ def test_matrix_margins():
     assert big.sum() == 10**9 and abs(big[0] - 2e9 / 3) < 1e6
 
 
+@pytest.mark.parametrize(("capacity", "draw"), [([3, 5, 4], 4), ([1, 2, 9], 8), ([150, 60, 90], 140), ([150, 60, 90], 200)])
+def test_large_splits_follow_the_hypergeometric_law(monkeypatch, capacity, draw):
+    """As for populations that numpy's generator does not take."""
+    monkeypatch.setattr(sharding, "_EXACT", 0)
+    r, total, n = np.random.default_rng(3), sum(capacity), 6000
+    got = np.array([sharding.split_counts(r, np.array(capacity), draw) for _ in range(n)])
+    assert (got.sum(1) == draw).all() and (got >= 0).all() and (got <= capacity).all()
+    for i, c in enumerate(capacity):
+        for x in range(c + 1):
+            p = math.comb(c, x) * math.comb(total - c, draw - x) / math.comb(total, draw) if x <= draw else 0
+            assert abs((got[:, i] == x).mean() - p) <= 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+
+
 # -- 6
 
 
