@@ -6,6 +6,10 @@ tokens squared) and go, largest first, each into the open sequence that fits it
 and is best by the weighted residual norm that is left, or by the weighted dot product of the piece
 with what the sequence has left.
 
+At the contract of the registered query and of the pipeline (1024, 1024, 1024 * 1024) only the tokens bind: a
+piece has at least one token, and the sum of squared lengths never exceeds the squared sum. The other two
+capacities are slack there by construction, and all that they do is add their small weights to the score.
+
 Packing is local to a task, then global: sequences that come out full, or nearly, are final; the pieces of all
 others go on, with far fewer tasks, and are packed again, until one small task is left. So nearly all
 pieces never move, no task holds more than its share, and in the whole only the last round leaves
