@@ -100,7 +100,11 @@ def exact_duplicates(docs: DataFrame, keep: str = "max", radix: int = 16, rows_p
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows, one."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows that repeat both doc_id and text are one document: all of them stay if it does. So do all rows with a
+    null doc_id of a text that has no other row.
+    """
     marked = exact_duplicates(docs, keep).where("not kept").select("doc_id", "digest").distinct()
     own = docs.withColumn("__digest", F.unhex(F.sha2(null_safe_text(), 256)))
     left = own.alias("a").join(marked.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__digest") == F.col("b.digest")), "left_anti")
