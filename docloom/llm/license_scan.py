@@ -46,24 +46,25 @@ def _rules() -> tuple[Rule, ...]:
     def add(label: str, priority: int, keyword: str, pattern: str, confidence: float) -> None:
         out.append(Rule(label, priority, keyword, pattern, confidence))
 
+    split: list[tuple[str, str, str]] = []
     # Names: label, keyword, pattern of the name.
     names = (
-        ("gpl-2.0", "gpl", r"(?:gnu )?gpl ?(?:v|version )?2(?: 0)?"),
-        ("gpl-3.0", "gpl", r"(?:gnu )?gpl ?(?:v|version )?3(?: 0)?"),
-        ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?(?:v|version )?2 1"),
-        ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl ?(?:v|version )?3(?: 0)?"),
-        ("agpl-3.0", "agpl", r"(?:gnu )?agpl ?(?:v|version )?3(?: 0)?"),
-        ("gpl-2.0", "general", r"gnu general public license (?:as published by the free software foundation )?(?:either )?(?:v|version )2(?: 0)?"),
-        ("gpl-3.0", "general", r"gnu general public license (?:as published by the free software foundation )?(?:either )?(?:v|version )3(?: 0)?"),
-        ("lgpl-2.1", "lesser", r"gnu lesser general public license (?:v|version )2 1"),
-        ("lgpl-3.0", "lesser", r"gnu lesser general public license (?:v|version )3(?: 0)?"),
+        ("gpl-2.0", "gpl", r"(?:gnu )?gpl ?(?:v ?|version )?2(?: 0)?"),
+        ("gpl-3.0", "gpl", r"(?:gnu )?gpl ?(?:v ?|version )?3(?: 0)?"),
+        ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?(?:v ?|version )?2 1"),
+        ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl ?(?:v ?|version )?3(?: 0)?"),
+        ("agpl-3.0", "agpl", r"(?:gnu )?agpl ?(?:v ?|version )?3(?: 0)?"),
+        ("gpl-2.0", "general", r"gnu general public license (?:as published by the free software foundation )?(?:either )?(?:v ?|version )2(?: 0)?"),
+        ("gpl-3.0", "general", r"gnu general public license (?:as published by the free software foundation )?(?:either )?(?:v ?|version )3(?: 0)?"),
+        ("lgpl-2.1", "lesser", r"gnu lesser general public license (?:v ?|version )2 1"),
+        ("lgpl-3.0", "lesser", r"gnu lesser general public license (?:v ?|version )3(?: 0)?"),
         ("lgpl", "lesser", r"gnu lesser general public license"),
-        ("lgpl-2.0", "library", r"gnu library general public license(?: (?:v|version )2(?: 0)?)?"),
-        ("agpl-3.0", "affero", r"gnu affero general public license(?: (?:v|version )3(?: 0)?)?"),
-        ("gfdl", "documentation", r"gnu free documentation license(?: (?:v|version )1(?: [0-3])?)?"),
-        ("apache-2.0", "apache", r"apache(?: software)? license (?:v|version )?2(?: 0)?"),
-        ("apache-1.1", "apache", r"apache(?: software)? license (?:v|version )?1 1"),
-        ("apache-1.0", "apache", r"apache(?: software)? license (?:v|version )?1 0"),
+        ("lgpl-2.0", "library", r"gnu library general public license(?: (?:v ?|version )?2(?: 0)?)?"),
+        ("agpl-3.0", "affero", r"gnu affero general public license(?: (?:v ?|version )?3(?: 0)?)?"),
+        ("gfdl", "documentation", r"gnu free documentation license(?: (?:v ?|version )?1(?: [0-3])?)?"),
+        ("apache-2.0", "apache", r"apache(?: software)? license (?:v ?|version )?2(?: 0)?"),
+        ("apache-1.1", "apache", r"apache(?: software)? license (?:v ?|version )?1 1"),
+        ("apache-1.0", "apache", r"apache(?: software)? license (?:v ?|version )?1 0"),
         ("mit", "mit", r"(?:the )?mit license"),
         ("mit-0", "mit", r"mit no attribution(?: license)?"),
         ("x11", "x11", r"x11 license"),
@@ -76,60 +77,68 @@ def _rules() -> tuple[Rule, ...]:
         ("0bsd", "bsd", r"(?:zero clause bsd|0 bsd|bsd zero clause)(?: license)?"),
         ("0bsd", "0bsd", r"0bsd(?: license)?"),
         ("bsd", "bsd", r"bsd (?:style )?license"),
-        ("mpl-1.1", "mozilla", r"mozilla public license (?:v |version )?1 1"),
-        ("mpl-2.0", "mozilla", r"mozilla public license (?:v |version )?2(?: 0)?"),
+        ("mpl-1.1", "mozilla", r"mozilla public license (?:v ?|version )?1 1"),
+        ("mpl-2.0", "mozilla", r"mozilla public license (?:v ?|version )?2(?: 0)?"),
         ("mpl", "mozilla", r"mozilla public license"),
-        ("epl-1.0", "eclipse", r"eclipse public license (?:v |version )?1(?: 0)?"),
-        ("epl-2.0", "eclipse", r"eclipse public license (?:v |version )?2(?: 0)?"),
-        ("edl-1.0", "eclipse", r"eclipse distribution license(?: (?:v |version )?1(?: 0)?)?"),
-        ("cddl-1.0", "common", r"common development and distribution license(?: (?:v |version )?1(?: 0)?)?"),
-        ("cpl-1.0", "common", r"common public license(?: (?:v |version )?1(?: 0)?)?"),
-        ("ipl-1.0", "ibm", r"ibm public license(?: (?:v |version )?1(?: 0)?)?"),
-        ("cecill-2.1", "cecill", r"cecill(?: free software license)?(?: agreement)?(?: (?:v |version )?2(?: 1)?)?"),
-        ("artistic-1.0", "artistic", r"artistic license (?:v |version )?1(?: 0)?"),
-        ("artistic-2.0", "artistic", r"artistic license (?:v |version )?2(?: 0)?"),
+        ("epl-1.0", "eclipse", r"eclipse public license (?:v ?|version )?1(?: 0)?"),
+        ("epl-2.0", "eclipse", r"eclipse public license (?:v ?|version )?2(?: 0)?"),
+        ("epl", "eclipse", r"eclipse public license"),
+        ("edl-1.0", "eclipse", r"eclipse distribution license(?: (?:v ?|version )?1(?: 0)?)?"),
+        ("cddl-1.0", "common", r"common development and distribution license(?: (?:v ?|version )?1(?: 0)?)?"),
+        ("cpl-1.0", "common", r"common public license(?: (?:v ?|version )?1(?: 0)?)?"),
+        ("ipl-1.0", "ibm", r"ibm public license(?: (?:v ?|version )?1(?: 0)?)?"),
+        ("cecill-2.1", "cecill", r"cecill(?: free software license)?(?: agreement)?(?: (?:v ?|version )?2(?: 1)?)?"),
+        ("artistic-1.0", "artistic", r"artistic license (?:v ?|version )?1(?: 0)?"),
+        ("artistic-2.0", "artistic", r"artistic license (?:v ?|version )?2(?: 0)?"),
         ("artistic", "artistic", r"(?:the )?artistic license"),
         ("zlib", "zlib", r"zlib(?: libpng)? license"),
         ("libpng", "libpng", r"libpng license"),
         ("unlicense", "unlicense", r"(?:the )?unlicense"),
-        ("wtfpl", "wtfpl", r"wtfpl(?: (?:v |version )?2)?"),
-        ("bsl-1.0", "boost", r"boost software license(?: (?:v |version )?1(?: 0)?)?"),
-        ("busl-1.1", "business", r"business source license(?: (?:v |version )?1 1)?"),
-        ("sspl-1.0", "server", r"server side public license(?: (?:v |version )?1(?: 0)?)?"),
-        ("elastic-2.0", "elastic", r"elastic license(?: (?:v |version )?2(?: 0)?)?"),
-        ("eupl-1.1", "european", r"european union public (?:license|licence) (?:v |version )?1 1"),
-        ("eupl-1.2", "european", r"european union public (?:license|licence)(?: (?:v |version )?1 2)?"),
+        ("wtfpl", "wtfpl", r"wtfpl(?: (?:v ?|version )?2)?"),
+        ("bsl-1.0", "boost", r"boost software license(?: (?:v ?|version )?1(?: 0)?)?"),
+        ("busl-1.1", "business", r"business source license(?: (?:v ?|version )?1 1)?"),
+        ("sspl-1.0", "server", r"server side public license(?: (?:v ?|version )?1(?: 0)?)?"),
+        ("elastic-2.0", "elastic", r"elastic license(?: (?:v ?|version )?2(?: 0)?)?"),
+        ("eupl-1.1", "european", r"european union public (?:license|licence) (?:v ?|version )?1 1"),
+        ("eupl-1.2", "european", r"european union public (?:license|licence)(?: (?:v ?|version )?1 2)?"),
         ("ms-pl", "microsoft", r"microsoft public license"),
         ("ms-rl", "microsoft", r"microsoft reciprocal license"),
-        ("osl-3.0", "open", r"open software license(?: (?:v |version )?3(?: 0)?)?"),
-        ("afl-3.0", "academic", r"academic free license(?: (?:v |version )?3(?: 0)?)?"),
-        ("ecl-2.0", "educational", r"educational community license(?: (?:v |version )?2(?: 0)?)?"),
+        ("osl-3.0", "open", r"open software license(?: (?:v ?|version )?3(?: 0)?)?"),
+        ("afl-3.0", "academic", r"academic free license(?: (?:v ?|version )?3(?: 0)?)?"),
+        ("ecl-2.0", "educational", r"educational community license(?: (?:v ?|version )?2(?: 0)?)?"),
         ("ncsa", "illinois", r"university of illinois ncsa open source license"),
-        ("psf-2.0", "python", r"python software foundation license(?: (?:v |version )?2)?"),
-        ("python-2.0", "python", r"python license(?: (?:v |version )?2(?: 0)?)?"),
-        ("php-3.01", "php", r"php license(?: (?:v |version )?3(?: 0?1)?)?"),
+        ("psf-2.0", "python", r"python software foundation license(?: (?:v ?|version )?2)?"),
+        ("python-2.0", "python", r"python license(?: (?:v ?|version )?2(?: 0)?)?"),
+        ("php-3.01", "php", r"php license(?: (?:v ?|version )?3(?: 0?1)?)?"),
         ("ruby", "ruby", r"ruby license"),
         ("openssl", "openssl", r"openssl(?: ssleay)? license"),
         ("postgresql", "postgresql", r"postgresql (?:license|licence)"),
         ("vim", "vim", r"vim license"),
         ("w3c", "w3c", r"w3c software(?: notice)?(?: and)? license"),
-        ("ofl-1.1", "sil", r"sil open font license(?: (?:v |version )?1 1)?"),
-        ("odbl-1.0", "database", r"open (?:data commons open )?database license(?: (?:v |version )?1(?: 0)?)?"),
-        ("odc-by-1.0", "commons", r"open data commons attribution license(?: (?:v |version )?1(?: 0)?)?"),
+        ("ofl-1.1", "sil", r"sil open font license(?: (?:v ?|version )?1 1)?"),
+        ("odbl-1.0", "database", r"open (?:data commons open )?database license(?: (?:v ?|version )?1(?: 0)?)?"),
+        ("odc-by-1.0", "commons", r"open data commons attribution license(?: (?:v ?|version )?1(?: 0)?)?"),
         ("pddl-1.0", "public", r"(?:open data commons )?public domain dedication(?: and)? license"),
         ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
         ("cc0-1.0", "creative", r"creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?"),
         ("public-domain", "domain", r"(?:released |placed |dedicated )?(?:in|into|to) the public domain"),
         ("blueoak-1.0.0", "oak", r"blue oak model license(?: 1 0 0)?"),
-        ("mulan-psl-2.0", "mulan", r"mulan (?:psl|permissive software license)(?: (?:v |version )?2)?"),
-        ("upl-1.0", "universal", r"universal permissive license(?: (?:v |version )?1(?: 0)?)?"),
+        ("mulan-psl-2.0", "mulan", r"mulan (?:psl|permissive software license)(?: (?:v ?|version )?2)?"),
+        ("upl-1.0", "universal", r"universal permissive license(?: (?:v ?|version )?1(?: 0)?)?"),
         ("openrail", "rail", r"(?:creative ml |bigscience |bigcode )?open rail(?: m)?(?: license)?"),
         ("openrail", "openrail", r"(?:creative ml |bigscience |bigcode )?openrail(?: m)?(?: license)?"),
     )
+    # A name whose version may be left out says the version only if it stands there.
     for label, keyword, name in names:
+        whole = re.fullmatch(r"(.*)\(\?:( \(\?:v \?\|version \)\?.*)\)\?", name)
+        if whole and re.search(r"-\d", label):
+            split += [(label, keyword, whole[1] + whole[2]), (re.sub(r"-\d.*", "", label), keyword, whole[1])]
+        else:
+            split.append((label, keyword, name))
+    for label, keyword, name in split:
         add(label, 1, keyword, name, 0.7)
     # The same names in a grant or a notice say more than a mention.
-    for label, keyword, name in names[:65]:
+    for label, keyword, name in split:
         add(label, 2, keyword, rf"(?:licensed|released|distributed|available|provided|published|redistributed|used) (?:to you )?(?:only )?(?:under|according to|subject to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}", 0.95)
     # SPDX tags: the identifier as it reads once reduced to words.
     tags = (

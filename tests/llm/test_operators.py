@@ -611,3 +611,13 @@ def test_license_names_within_a_word(spark):
     texts = {"OpenRAIL-M license": ("openrail", 0.7), "under BigScience Open RAIL M": ("openrail", 0.7), "released under the 0BSD license": ("0bsd", 0.95), "0BSD": ("0bsd", 0.7), "Zero-Clause BSD": ("0bsd", 0.7)}
     got = license_scan.scan_licenses(frame(spark, list(texts))).collect()
     assert {list(texts)[r.doc_id]: (r.labels, round(r.score, 9)) for r in got} == texts
+
+
+def test_license_versions_and_grants(spark):
+    texts = {
+        "Eclipse Public License v2.0": ("epl-2.0", 0.7), "Eclipse Public License": ("epl", 0.7), "European Union Public Licence v1.1": ("eupl-1.1", 0.7), "European Union Public Licence V. 1.2": ("eupl-1.2", 0.7), "European Union Public Licence 1.0": ("eupl", 0.7),
+        "Academic Free License v2.1": ("afl", 0.7), "GPL v. 2": ("gpl-2.0", 0.7), "released under the SIL Open Font License v1.1": ("ofl-1.1", 0.95), "distributed under the terms of the UPL: Universal Permissive License": ("upl", 0.7),
+        "licensed under CC0 1.0": ("cc0-1.0", 0.95), "released under the OpenRAIL-M license": ("openrail", 0.95),
+    }
+    got = license_scan.scan_licenses(frame(spark, list(texts))).collect()
+    assert {list(texts)[r.doc_id]: (r.labels, round(r.score, 9)) for r in got} == texts
