@@ -76,8 +76,55 @@ def test_substring_dedup_repeated_rows_and_null_ids(spark):
 
 def test_runs_round_trip():
     for n in (1, 2, 1000):
-        h = np.unique(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))
-        assert (substring_dedup.unpack(substring_dedup.pack(h)) == h).all()
+        r = np.random.default_rng(n)
+        one, two = np.unique(r.integers(0, 2**61 - 1, n, dtype=np.uint64)), r.integers(0, 2**31 - 1, n, dtype=np.uint32)
+        back = substring_dedup.unpack(substring_dedup.pack(one, two))
+        assert (back[0] == one).all() and (back[1] == two).all()
+
+
+def complements(n):
+    """Two words of letters a and b, each the other's complement, that polynomials modulo a power of two take for equal."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a[:n], a[:n].translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_substring_dedup_of_complementary_words(spark, n):
+    a, b = complements(n)
+    common = " ".join(words(19, 77))
+    texts = [f"{common} {a}", f"{common} {b}", f"{common} {a}"]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, texts), 20).collect()}
+    assert got == removed_by_hand(enumerate(texts), 20) and [got[i][1] for i in range(3)] == [0, 0, 20]
+
+
+def test_substring_dedup_of_two_words_in_turn(spark):
+    """Windows as long as the words above, over two words."""
+    a, b = ([f"w{c}" for c in x] for x in complements(2048))
+    texts = [" ".join(a), " ".join(b), " ".join(a[:1500])]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, texts), 1024, block_bytes=4000).collect()}
+    assert got == removed_by_hand(enumerate(texts), 1024)
+
+
+def test_substring_dedup_of_a_very_long_text_and_many_blocks(spark):
+    long = words(150_000, 41, 10**6)
+    texts = [" ".join(words(60, 42 + i, 10**6)) for i in range(30)] + [" ".join(long)] + [" ".join(long[i : i + 200]) for i in range(0, 100_000, 10_000)] + ["y" * 1_500_000 + " z"] * 2
+    for block_bytes in (None, 20_000):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, texts), 20, block_bytes=block_bytes, range_windows=4096).collect()}
+        assert got == removed_by_hand(enumerate(texts), 20)
+
+
+def test_substring_dedup_of_many_rows_of_one_id(spark):
+    """Blocks cut within an id, by the hash of the text; the first of a passage's rows keeps it, whichever row that is."""
+    shared = " ".join(words(30, 50, 10**6))
+    rows = [(i, " ".join(words(50, 51 + j, 10**6)) + " " + shared) for i in (None, 7) for j in range(60)] + [(3, "few"), (9, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cuts = substring_dedup.cuts_by_bytes(df.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.lit(9000).alias("n_bytes")), 9)
+    assert len(set(cuts.tolist())) < len(cuts)
+    got = Counter((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(df, 20, block_bytes=3000).collect())
+    # Texts 0 to 59 stand under both ids, and the shared passage once in all.
+    assert got == {(None, 0): 1, (None, 30): 59, (7, 80): 60, (3, 0): 1, (9, 30): 1}
 
 
 # -- 2
@@ -337,12 +384,87 @@ def test_near_duplicates_with_several_texts_under_one_id(spark):
 
 
 def test_sketch_registers():
-    salt, odd = near_dup._functions(400)
-    s = near_dup.mix64(np.arange(3000, dtype=np.uint64))
-    a, b = near_dup.sketch(s[:2000], salt, odd), near_dup.sketch(s[500:2500], salt, odd)
-    assert abs(near_dup.estimated(np.array([(a == b).sum()]), 400, np.array([2000.0]), np.array([2000.0]))[0] - 0.6) < 0.1
-    c = near_dup.sketch(s[2500:], salt, odd)
-    assert (a == c).mean() < 0.02 and (a >> near_dup.MANTISSA).max() <= 32
+    from docloom.llm import common
+
+    order = near_dup.probes(512)
+    assert all(sorted(p) == list(range(512)) and p[0] == i for i, p in enumerate(order.tolist()))
+    s = np.random.default_rng(1).integers(0, common.P1, 30_000, dtype=np.uint64)
+    make = lambda x: near_dup.sketch(np.sort(x), order)
+    for n in (20_000, 600):  # every bucket filled, and most of them borrowed
+        a, b = make(s[:n]), make(s[n // 4 : n // 4 + n])
+        assert abs(near_dup.estimated(np.array([(a == b).sum()]), 512, np.array([n]), np.array([n]))[0] - 0.6) < 0.12
+    c = make(s[25_000:])
+    assert (a == c).mean() < 0.02 and (c >> near_dup.MANTISSA).max() <= 63
+    # A register by hand: leading zeros after the bucket's number, the bits after the first one.
+    x = (5 << 52) | (0b1011 << 40)
+    assert near_dup.sketch(np.array([x], np.uint64), order)[5] == (8 << near_dup.MANTISSA) | 0b0110000000
+
+
+def test_shingles_are_told_apart_whatever_the_words():
+    """Words that a polynomial modulo a power of two takes for equal, and words around the length that is hashed one to one."""
+    texts = [x for n in (64, 1024, 4096) for x in complements(n)]
+    texts += ["x" * n for n in range(1, 20)] + ["x" * 14 + "\0", "x" * 15 + "\0", "\0", "\0\0", "a\0", "a b", "b a", "a b c", "c b a"]
+    sets = list(near_dup.shingle_sets(pa.array(texts), 4))
+    assert len({(int(x[0]), int(y[0])) for x, y in sets}) == len(texts)
+
+
+def test_window_hashes_by_hand():
+    from docloom.llm import common
+
+    r = random.Random(3)
+    low, high = (np.array([r.getrandbits(64) for _ in range(90)], np.uint64) for _ in range(2))
+    for width in (1, 2, 3, 5, 20, 89, 90, 91):
+        one, two = common.window_hashes(low, high, width, step=16)
+        assert len(one) == len(two) == max(0, 91 - width)
+        for i in range(len(one)):
+            x = y = 0
+            for j in range(i, i + width):
+                x, y = (x * common.BASES[0] + int(low[j])) % common.P1, (y * common.BASES[1] + int(high[j])) % common.P2
+            assert (x, y) == (one[i], two[i])
+
+
+def test_pairs_that_agree_in_one_lane_only():
+    from docloom.llm import common
+
+    one, two = np.array([5, 5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint32)
+    order, same = common.sorted_pairs(one, two)
+    assert same.sum() == 2 and [(int(one[i]), int(two[i])) for i in order] == [(5, 1), (5, 1), (5, 2), (5, 2), (7, 1)]
+    x, y = (np.array([5, 5], np.uint64), np.array([1, 2], np.uint32)), (np.array([5, 5, 7], np.uint64), np.array([2, 3, 1], np.uint32))
+    assert near_dup.common(x, y) == 1 and near_dup.intersections([x, y], [y], step=2).tolist() == [[1], [3]]
+
+
+def test_joining_links():
+    links = np.ones((3, 3), bool)
+    got = near_dup.joining(links, np.array([1, 2, 2]), np.array([3, 1, 9]))
+    assert len(got) == 3 and {x for p in got for x in p} == {1, 2, 3, 9}
+
+
+def test_near_duplicates_of_complementary_words(spark):
+    a, b = complements(4096)
+    texts = [a[:1024], b[:1024], a, b, "one " * 5 + a, "one " * 5 + b, a]
+    got = near_dup.near_duplicates(frame(spark, texts), k=4, percent=80).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == near_by_hand(list(enumerate(texts)), 4, 80)
+
+
+@pytest.mark.parametrize("open_share", [0, 64])
+def test_near_duplicates_with_many_hubs(spark, open_share):
+    """Many look-alikes, of which some are linked and most are not, whether or not hubs are tried again; also in blocks bounded by bytes."""
+    r, base, texts = random.Random(16), words(70, 21, 10**6), []
+    for i in range(200):
+        copy = list(base)
+        for j in range(1 + i % 3):
+            copy[r.randrange(70) if i % 2 else 69 - j] = f"c{i}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(words(30, 22, 10**6) + ["x" * 30_000, f"y{i}"]) for i in range(8)]
+    got = near_dup.near_duplicates(frame(spark, texts), k=5, percent=80, block=16, open_share=open_share).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == near_by_hand(list(enumerate(texts)), 5, 80)
+
+
+def test_near_duplicates_of_a_very_long_text(spark):
+    long = words(60_000, 31, 10**6)
+    texts = [" ".join(long), " ".join(long[:59_000] + ["end"]), " ".join(long[30_000:]), "z" * 2_000_000, "z" * 2_000_000 + " ", "z" * 1_999_999]
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(frame(spark, texts), k=5, percent=80).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5}
 
 
 def test_components(spark):
@@ -546,7 +668,7 @@ def test_chunks_of_very_long_text():
     col = pa.array(["a b", "x" * 3_000_000 + " y", None, "c"])
     got = [(a, b) for a, b, _, _ in common.chunks(col)]
     assert got == [(0, 1), (1, 2), (2, 4)]
-    assert [len(s) for s in near_dup.shingle_sets(col, 4)] == [1, 1, 0, 1]
+    assert [len(s) for s, _ in near_dup.shingle_sets(col, 4)] == [1, 1, 0, 1]
 
 
 def test_license_stems():
