@@ -3,20 +3,22 @@
 A word is removed if some window covers it whose word sequence also starts earlier (smaller doc_id,
 or the same document and an earlier start). Repeated windows merge into maximal removal intervals.
 
-How it is spread. Documents are dealt into blocks by ranges of doc_id, so block order is document
-order. Each block sends every distinct window hash once, as sorted, packed runs, one per hash
-range. A range task counts in how many blocks each hash occurs: the earliest start of a hash that
-occurs in several blocks lies in the first of them, so it answers each later block with the hashes
-that are repeats there. A block then marks, in its own texts, the windows in that answer and those
-that start earlier within the block. So no location ever travels, a passage shared by a third of all
-documents is one hash per block, and what a task holds is bounded by the sizes of a block and a range.
-
-Windows are equal when their 64-bit hashes are: among n windows, some n**2 / 2**65 pairs can differ.
+How it is spread. Documents are dealt into blocks by ranges of doc_id of about equal bytes, so block order is
+document order; a doc_id of very many rows is cut further, by a hash of the text. Each block sends every distinct
+window hash once, as sorted, packed runs, one per hash range. A range task counts in how many blocks each hash
+occurs: the earliest start of a hash that occurs in several blocks lies in the first of them, so it answers each
+later block with a bitmap over the block's run: which of these hashes are repeats there. A block then marks, in
+its own texts, the windows in that answer and those that start earlier within the block. So no location ever
+travels, a passage shared by a third of all documents is one hash per block, and what a task holds is bounded by
+the sizes of a block and a range.
+
+Windows are equal when their hashes are, modulo 2**61 - 1 and modulo 2**31 - 1: of n windows, some n**2 / 2**93
+pairs of different ones may be taken for equal (0.03 pairs among the 2e13 windows of 100 TB).
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined results: null or empty text has no words, nothing
 is removed and the kept text is empty; a null doc_id comes before all others; repeated rows of one
-doc_id are ordered by text, and of equal ones all but one count as later; an empty table gives an empty
-result. Columns besides doc_id and text are not read.
+doc_id are ordered by a hash of the text, then by text, and of equal ones all but one count as later; an empty
+table gives an empty result. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,108 +29,106 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, null_safe_text, window_hashes, word_hashes
+from .common import bound_batches, chunks, null_safe_text, sorted_pairs, window_hashes, word_tokens
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept_text string"
+_TOP = 61  # bits of a hash's first lane
 
 
-def pack(hashes: np.ndarray) -> bytes:
-    """Sorted distinct hashes as differences, all of the width that the largest needs."""
-    gaps = np.diff(hashes, prepend=np.uint64(0))
+def pack(one: np.ndarray, two: np.ndarray) -> bytes:
+    """Sorted distinct hashes: the first lane as differences, all of the width that the largest needs, and the second."""
+    gaps = np.diff(one, prepend=np.uint64(0))
     first, rest = int(gaps[0]), gaps[1:]
     width = max(1, (int(rest.max(initial=0)).bit_length() + 7) // 8)
     body = rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + first.to_bytes(8, "little") + body.tobytes()
+    return bytes([width]) + first.to_bytes(8, "little") + body.tobytes() + two.astype("<u4").tobytes()
 
 
-def unpack(run: bytes) -> np.ndarray:
+def unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
     width, first = run[0], int.from_bytes(run[1:9], "little")
-    body = np.frombuffer(run, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(body) + 1, 8), np.uint8)
-    gaps[1:, :width] = body
+    n = (len(run) - 9 + width) // (width + 4)
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[1:, :width] = np.frombuffer(run, np.uint8, (n - 1) * width, 9).reshape(-1, width)
     out = gaps.view("<u8")[:, 0].copy()
     out[0] = first
-    return np.cumsum(out, dtype=np.uint64)
+    return np.cumsum(out, dtype=np.uint64), np.frombuffer(run, "<u4", n, 9 + (n - 1) * width)
 
 
 class Block:
     """The texts of one block in document order, their words and window hashes."""
 
     def __init__(self, tab: pa.Table, width: int):
-        order = pc.sort_indices(tab, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
+        order = pc.sort_indices(tab, sort_keys=[("doc_id", "ascending"), ("mark", "ascending"), ("text", "ascending")], null_placement="at_start")
         tab = tab.select(["doc_id", "text"]).take(order).combine_chunks()
         self.ids = tab.column("doc_id").combine_chunks()
         text = tab.column("text").combine_chunks()
-        self.parts, words, rows = [], [], []
+        self.parts, low, high, rows = [], [], [], []
         if isinstance(text, pa.ChunkedArray):
             text = pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string())
         for at, _, data, offs in chunks(text):
-            h, s, e, row = word_hashes(data, offs, lower=False)
-            words.append(h), rows.append(row + at)
+            a, b, s, e, row = word_tokens(data, offs)
+            low.append(a), high.append(b), rows.append(row + at)
             self.parts.append((at, data, offs, s, e, row))
-        h = np.concatenate(words) if words else np.zeros(0, np.uint64)
-        self.row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        n = max(0, len(h) - width + 1)
+        gathered = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
+        self.row = gathered(rows, np.int64)
+        self.count = n = len(self.row)
+        one, two = window_hashes(gathered(low, np.uint64), gathered(high, np.uint64), width)
+        n = len(one)
         inside = np.flatnonzero(self.row[:n] == self.row[width - 1 : width - 1 + n])  # windows within one document
-        self.starts, self.windows = inside, window_hashes_in_steps(h, inside, width)
-        self.count = len(h)
-
+        one, two = one[inside], two[inside]
+        order, same = sorted_pairs(one, two)  # of equal windows, the earlier first
+        self.starts, new = inside[order], np.r_[True, ~same] if len(order) else np.zeros(0, bool)
+        #: Of every start in the order of hashes: whether its window came before in the block, and the number of its hash.
+        self.again, self.number = ~new, np.cumsum(new) - 1
+        self.one, self.two = one[order[new]], two[order[new]]
 
-def window_hashes_in_steps(words: np.ndarray, starts: np.ndarray, width: int, step: int = 1 << 18) -> np.ndarray:
-    out = np.empty(len(starts), np.uint64)
-    for at in range(0, len(starts), step):
-        s = starts[at : at + step]
-        low, high = int(s[0]), int(s[-1]) + width
-        out[at : at + step] = window_hashes(words[low:high], s - low, width)
-    return out
+    def ranges(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(range, first hash) of the ranges that the block's hashes fall into."""
+        top = (self.one >> np.uint64(_TOP - bits)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, top[1:] != top[:-1]]) if len(top) else np.zeros(0, np.int64)
+        return top[first], first
 
 
 def _runs(width: int, range_bits: int):
     def run(tab: pa.Table) -> pa.Table:
-        block = tab.column("block")[0].as_py()
-        hashes = np.unique(Block(tab, width).windows)
-        top = (hashes >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(hashes), np.int64)
-        cuts = np.flatnonzero(np.diff(top)) + 1
-        pieces = np.split(hashes, cuts) if len(hashes) else []
-        return pa.table({"block": pa.array([block] * len(pieces), pa.int32()), "part": pa.array([int(p[0]) >> (64 - range_bits) if range_bits else 0 for p in pieces], pa.int32()), "run": pa.array([pack(p) for p in pieces], pa.binary())})
+        number, block = tab.column("block")[0].as_py(), Block(tab, width)
+        part, first = block.ranges(range_bits)
+        ends = [*first[1:].tolist(), len(block.one)]
+        pieces = [pack(block.one[a:b], block.two[a:b]) for a, b in zip(first.tolist(), ends, strict=False)]
+        return pa.table({"block": pa.array([number] * len(pieces), pa.int32()), "part": pa.array(part, pa.int64()), "run": pa.array(pieces, pa.binary())})
 
     return run
 
 
 def _answers(tab: pa.Table) -> pa.Table:
-    """For each block, the hashes of this range that an earlier block has too."""
-    order = np.argsort(tab.column("block").to_numpy(), kind="stable")
-    blocks = tab.column("block").to_numpy()[order]
-    runs = tab.column("run").to_pylist()
-    runs = [unpack(runs[i]) for i in order]
-    hashes, of = np.concatenate(runs), np.repeat(blocks, [len(r) for r in runs])
-    by = np.argsort(hashes, kind="stable")  # of equal hashes, the earlier block first
-    hashes, of = hashes[by], of[by]
-    later = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
-    hashes, of = hashes[later], of[later]
-    by = np.argsort(of, kind="stable")  # sorted by hash within each block
-    hashes, of = hashes[by], of[by]
-    cuts = np.flatnonzero(np.diff(of)) + 1
-    pieces, names = (np.split(hashes, cuts), of[np.r_[0, cuts]]) if len(of) else ([], [])
-    return pa.table({"block": pa.array(list(names), pa.int32()), "run": pa.array([pack(np.unique(p)) for p in pieces], pa.binary())})
-
-
-def _marked(width: int, texts: bool):
+    """For each block, which hashes of its run of this range an earlier block has too; no row for none."""
+    blocks = tab.column("block").to_numpy()
+    order = np.argsort(blocks, kind="stable")
+    cells = tab.column("run").to_pylist()
+    runs = [unpack(cells[i]) for i in order]
+    ends = np.cumsum([len(r[0]) for r in runs])
+    by, same = sorted_pairs(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))  # of equal hashes, the earlier block first
+    known = np.zeros(len(by), bool)
+    known[by[1:][same]] = True
+    told = [(int(blocks[i]), np.packbits(known[end - len(r[0]) : end]).tobytes()) for i, r, end in zip(order, runs, ends, strict=True) if known[end - len(r[0]) : end].any()]
+    return pa.table({"block": pa.array([b for b, _ in told], pa.int32()), "part": pa.array([tab.column("part")[0].as_py()] * len(told), pa.int64()), "known": pa.array([x for _, x in told], pa.binary())})
+
+
+def _marked(width: int, range_bits: int, texts: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(docs, width)
-        told = np.concatenate([unpack(r) for r in answers.column("run").to_pylist()] or [np.zeros(0, np.uint64)])
-        by = np.argsort(block.windows, kind="stable")
-        h = block.windows[by]
-        repeat = np.r_[False, h[1:] == h[:-1]] if len(h) else np.zeros(0, bool)
-        if len(told) and len(h):
-            told.sort()
-            at = np.searchsorted(told, h)
-            repeat |= told[np.minimum(at, len(told) - 1)] == h
+        known = np.zeros(len(block.one), bool)
+        part, first = block.ranges(range_bits)
+        ends = np.r_[first[1:], len(block.one)]
+        for p, cell in zip(answers.column("part").to_pylist(), answers.column("known").to_pylist(), strict=True):
+            i = int(np.searchsorted(part, p))
+            known[first[i] : ends[i]] = np.unpackbits(np.frombuffer(cell, np.uint8), count=int(ends[i] - first[i]))
+        repeat = block.again | known[block.number]
+        s = block.starts[repeat]
         cover = np.zeros(block.count + 1, np.int32)  # windows end inside their document, so intervals do too
-        s = block.starts[by[repeat]]
         cover[s] += 1  # starts are distinct
         cover[s + width] -= 1
         gone = np.cumsum(cover[:-1]) > 0
@@ -167,36 +167,46 @@ def _marked(width: int, texts: bool):
     return run
 
 
-def _below(cuts: list[int], x: Column) -> Column:
-    """How many of the sorted cuts are at most x: among every g-th cut first, then in between."""
-    g = max(1, math.isqrt(len(cuts)))
-    heads, inner = cuts[::g], [cuts[i : i + g] for i in range(0, len(cuts), g)]
-    upto = lambda xs: F.size(F.filter(xs, lambda c: c <= x))
-    j = upto(F.array(*[F.lit(c) for c in heads]))
-    within = F.element_at(F.array(*[F.array(*[F.lit(c) for c in part]) for part in inner]), j)
-    return F.when(j == 0, 0).otherwise((j - 1) * g + upto(within))
+def cuts_by_bytes(rows: DataFrame, blocks: int, unit: int = 4096) -> np.ndarray:
+    """Sorted ids that cut the rows (id, n_bytes) into blocks of about equal bytes; an id of many blocks stands there often."""
+    if blocks < 2:
+        return np.zeros(0, np.int64)
+    weighed = rows.select("id", F.explode(F.sequence(F.lit(0), F.floor(F.col("n_bytes") / unit).cast("int"))))
+    cuts = weighed.approxQuantile("id", [i / blocks for i in range(1, blocks)], 1 / (8 * blocks))
+    return np.array(sorted(int(c) for c in cuts), np.int64)
+
+
+def block_of(cuts: np.ndarray):
+    """The block of (id, hash of the text): by the cuts, and by the hash where several cuts are one id."""
+
+    def run(ids: pa.Array, marks: pa.Array) -> pa.Array:
+        x, m = (c.to_numpy(zero_copy_only=False) for c in (ids, marks))
+        low, high = np.searchsorted(cuts, x, "left"), np.searchsorted(cuts, x, "right")
+        share = ((m.astype(np.float64) + 2.0**63) / 2.0**64).clip(0, 1 - 1e-12)
+        return pa.array((low + np.floor(share * (high - low + 1))).astype(np.int32))
+
+    run.__annotations__ = {"ids": pa.Array, "marks": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "int")
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, texts: bool = True, block_bytes: int | None = None, range_windows: int = 1 << 19) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, texts: bool = True, block_bytes: int | None = None, range_windows: int = 1 << 21) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, removed (word intervals), kept_text of every row.
 
-    block_bytes: text of a block; by default 8 MB, growing to 512 MB where there would be over 4096
-    blocks, so that runs stay long. range_windows: windows of a hash range, about, with up to 2**17 ranges.
+    block_bytes: text of a block; by default 8 MB, growing with the root of the input to 128 MB, so that runs, of
+    which there are as many as blocks times ranges, stay long. range_windows: windows of a hash range, about.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    size = block_bytes or min(max(8 << 20, (total["b"] or 0) // 4096), 512 << 20)
-    blocks = max(1, -(-(total["b"] or 0) // size))
-    cuts = rows.where("doc_id is not null").approxQuantile("doc_id", [i / blocks for i in range(1, blocks)], 1 / (8 * blocks)) if blocks > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    at = F.when(F.col("doc_id").isNull(), 0).otherwise(_below(cuts, F.col("doc_id"))) if cuts else F.lit(0)
-    dealt = rows.withColumn("block", at.cast("int")).repartition("block")
+    text = null_safe_text()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    id_ = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    sized = rows.select(id_.alias("id"), F.octet_length("text").alias("n_bytes"))
+    total = sized.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
+    size = block_bytes or min(max(8 << 20, 16 * math.isqrt(total)), 128 << 20)
+    cuts = cuts_by_bytes(sized, -(-total // size))
+    # A hash deals blocks to partitions: with twice as many of these, few have more than three.
+    dealt = rows.withColumn("block", block_of(cuts)(id_, F.col("mark"))).repartition(min(2 * (len(cuts) + 1), 50_000), "block")
     # About six bytes a word.
-    windows = (total["b"] or 0) / 6
-    bits = 0
-    while (1 << bits) * range_windows < windows and bits < 17:
-        bits += 1
-    runs = dealt.groupBy("block").applyInArrow(_runs(width, bits), "block int, part int, run binary")
-    answers = runs.groupBy("part").applyInArrow(_answers, "block int, run binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_marked(width, texts), RESULT)
+    bits = max(0, math.ceil(math.log2(max(1, total / 6 / range_windows))))
+    runs = dealt.groupBy("block").applyInArrow(_runs(width, bits), "block int, part long, run binary")
+    answers = runs.repartition(min(2 << bits, 50_000), "part").groupBy("part").applyInArrow(_answers, "block int, part long, known binary")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_marked(width, bits, texts), RESULT)
