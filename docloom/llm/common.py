@@ -10,7 +10,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one kernel call works on; a longer single text is a call of its own.
@@ -85,6 +85,24 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: list[str], size: str, by
     return left.join(right, [*key, "__part"], how).drop("__part")
 
 
+def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, Column], range_rows: int = 100_000) -> DataFrame:
+    """``rows`` with, for each name, the sum of its column over all rows before this one in the given order.
+
+    Rows are dealt into ranges of that order, which no task exceeds; only the ranges' totals, a row for each, meet.
+    """
+    named = {f"__v{i}": c for i, c in enumerate(sums.values())}
+    parts = parts_for(rows.count(), range_rows)
+    dealt = rows.withColumns(named).repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id())
+    dealt = stored(dealt, "ranges")
+    totals = dealt.groupBy("__range").agg(*[F.sum(v).alias(v) for v in named])
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__range", *[F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"__s{v}") for v in named])
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumns({f"__l{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in named})
+    out = local.join(starts, "__range").withColumns({n: F.col(f"__s{v}") + F.col(f"__l{v}") for n, v in zip(sums, named, strict=True)})
+    return out.select(*rows.columns, *sums)
+
+
 # ---------------------------------------------------------------------------------------------
 # Arrow access
 

@@ -152,6 +152,42 @@ def test_quality_edges(spark):
     assert quality.score_quality(empty(spark), labels).count() == 0 and quality.keep_quality(empty(spark), labels).count() == 0
 
 
+def statistics_by_hand(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    n, bytes_ = len(ws), len(text.encode())
+    one, size = n + 20, bytes_ + 120
+    per_100 = lambda k, of: math.log1p(100 * k / of)
+    of = lambda chars: sum(text.count(c) for c in chars)
+    seen, lines = Counter(ws), [x for x in text.encode().split(b"\n") if len(x) > 20]
+    return [
+        math.log1p(n), math.log1p(sum(len(w.encode()) for w in ws) / one), per_100(of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), size), per_100(of("0123456789"), size), per_100(of("#$%&*@^~+=<>{}[]\\_`"), one), per_100(of("|"), one), per_100(of("!?"), one),
+        per_100(of("."), one), per_100(of(","), one), per_100(of(":;'\"()-/"), one), per_100(sum(ord(c) > 127 for c in text), size), math.log1p(n / (text.count("\n") + 1)), per_100(sum(a == b for a, b in zip(ws, ws[1:], strict=False)), one),
+        math.log1p(len(seen)) - 0.8 * math.log1p(n), per_100(max(seen.values(), default=0), one), per_100(1 - len(set(lines)) / len(lines), 1) if len(lines) > 1 else 0.0,
+    ]
+
+
+def test_quality_statistics_and_fit_by_hand(spark):
+    """The whole query against a plain account of it: statistics, class moments, shrinkage, inverse and determinant."""
+    texts = ["", "a", "É é É é", "One two two. two!\n" * 5, "line of more than twenty bytes\n" * 3 + "x", "#$ | 12,34 (a) - b", "  \t\n ", "w " * 3000]
+    assert np.allclose(quality.statistics(pa.array(texts)), [statistics_by_hand(t) for t in texts])
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    x = {r.doc_id: np.array(statistics_by_hand(r.text or "")) for r in docs.collect()}
+    y = [(r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    own = [np.array([x[i] for i, c in y if c == k]) for k in (0, 1)]
+    cov = [np.cov(o.T, bias=True) for o in own]
+    pooled = sum(len(o) / len(y) * c for o, c in zip(own, cov, strict=True))
+
+    def density(v, k):
+        s = 0.8 * cov[k] + 0.2 * pooled
+        s = 0.98 * s + 0.02 * np.trace(s) / len(s) * np.eye(len(s)) + 1e-9 * np.eye(len(s))
+        d = v - own[k].mean(0)
+        return math.log(len(own[k]) / len(y)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * d @ np.linalg.inv(s) @ d
+
+    for r in quality.score_quality(docs, labels).collect():
+        odds = density(x[r.doc_id], 1) - density(x[r.doc_id], 0)
+        assert math.isclose(r.score, 1 / (1 + math.exp(min(700, max(-700, -odds)))), abs_tol=1e-5), r
+
+
 def test_quality_density_by_hand():
     r = np.random.default_rng(0)
     a, b = r.normal(0, 1, (200, 3)), r.normal(1, 2, (300, 3))
@@ -243,6 +279,31 @@ def test_top_k(spark):
     assert set(got) == set(range(0, 230, 50))
 
 
+def test_top_k_many_rows_of_one_id(spark):
+    """More vectors under one id than a chunk holds, and lengths of a minority: every row is asked, and finds its own length."""
+    r = np.random.default_rng(8)
+    rows = [(50, x.tolist()) for x in r.normal(0, 1, (11, 4))] + [(i, x.tolist()) for i, x in enumerate(r.normal(0, 1, (30, 4)), 1)] + [(i, x.tolist()) for i, x in enumerate(r.normal(0, 1, (4, 2)), 100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in bitslice_topk.top_k(df, k=3, query_chunk=2, block_rows=8).collect())
+    want = []
+    for i, v in rows:
+        if i % 50 == 0:
+            q = lambda x: np.floor(256 * np.array(x)).astype(int)
+            found = sorted(((int(q(v) @ q(w)), j) for j, w in rows if j != i and len(w) == len(v)), key=lambda t: (-t[0], t[1]))[:3]
+            want += [(i, n + 1, j, score) for n, (score, j) in enumerate(found)]
+    assert got == sorted(want)
+
+
+def test_top_k_large_components(spark):
+    """Exact as long as scores fit 64 bits, and saturated beyond."""
+    big = [[1e15, -3.0], [1e5, 2.5], [-1e300, 0.0], [1e300, 1.0], [2.0, 1e6]]
+    df = spark.createDataFrame([(50 * (i == 0) + i, v) for i, v in enumerate(big)], "vec_id long, embedding array<double>")
+    got = [(x.rank, x.vec_id, x.score) for x in bitslice_topk.top_k(df).where("query_id = 50").orderBy("rank").collect()]
+    most, q = 2**63 - 1, lambda x: max(-(2**63), min(2**63 - 1, math.floor(256 * x)))
+    score = {i: max(-most - 1, min(most, sum(q(a) * q(b) for a, b in zip(big[0], big[i], strict=True)))) for i in range(1, 5)}
+    assert got == [(n + 1, i, score[i]) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i)))]
+
+
 def test_top_k_few_and_none(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, -0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in bitslice_topk.top_k(two).collect()] == [(0, 1, 1, 256 * 128)]
@@ -287,6 +348,43 @@ def test_matrix_margins():
     assert big.sum() == 10**9 and abs(big[0] - 2e9 / 3) < 1e6
 
 
+def test_draws_beyond_the_generator_have_the_right_moments():
+    capacity, draw = np.array([2 * 10**9, 7 * 10**8, 3 * 10**8]), 9 * 10**8
+    r, total = np.random.default_rng(1), int(capacity.sum())
+    got = np.array([sharding.split_counts(r, capacity, draw) for _ in range(1500)], float)
+    assert (got.sum(1) == draw).all()
+    share = capacity / total
+    var = draw * share * (1 - share) * (total - draw) / (total - 1)
+    assert np.allclose(got.mean(0), draw * share, atol=5 * np.sqrt(var / 1500).max()) and np.allclose(got.var(0), var, rtol=0.2)
+
+
+def test_sharding_by_hand(spark):
+    """The same matrix, and the two permutations, on plain lists."""
+    docs = frame(spark, [f"t{i % 50}" for i in range(700)])
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(sharding.described(docs), "doc_id", ("size", "text_crc32"), 7, cell_rows=60, piece_rows=30).collect()}
+    described = sharding.described(docs)
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "size", "text_crc32")]
+    tie = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(("doc_id", "size", "text_crc32"))])
+    marked = described.select("doc_id", F.pmod(F.xxhash64(F.lit(20), *text), F.lit(12)).alias("cell"), F.xxhash64(F.lit(21), *text).alias("one"), F.xxhash64(F.lit(22), tie).alias("two")).collect()
+    cells = defaultdict(list)
+    for m in marked:
+        cells[m.cell].append(m)
+    shard, first, capacity = sharding.destinations(700, 7, 30)
+    sizes, arrived = np.array([len(cells[i]) for i in range(12)]), defaultdict(list)
+    for c in range(12):
+        rows = sorted(cells[c], key=lambda m: (m.one, m.doc_id))
+        for piece, n in enumerate(sharding.matrix_row(c, sizes, capacity, 20).tolist()):
+            arrived[piece] += [rows.pop(0) for _ in range(n)]
+    want = {m.doc_id: (int(shard[p]), int(first[p]) + i) for p, ms in arrived.items() for i, m in enumerate(sorted(ms, key=lambda m: (m.two, m.doc_id)))}
+    assert got == want
+
+
+def test_sharding_with_many_rows_of_one_id(spark):
+    docs = spark.range(900).selectExpr("IF(id % 3 = 0, null, id) AS doc_id", "repeat('x', CAST(id AS int)) AS text")
+    got = sharding.shuffle_into_shards(sharding.described(docs), "doc_id", ("size", "text_crc32"), 9, cell_rows=100, piece_rows=50).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [100] * 9 and len({(r.shard, r.slot) for r in got}) == 900
+
+
 @pytest.mark.parametrize(("capacity", "draw"), [([3, 5, 4], 4), ([1, 2, 9], 8), ([150, 60, 90], 140), ([150, 60, 90], 200)])
 def test_large_splits_follow_the_hypergeometric_law(monkeypatch, capacity, draw):
     """As for populations that numpy's generator does not take."""
@@ -500,7 +598,7 @@ def test_mixing(spark, seed):
         s = names[min(int(r.expovariate(0.9)), len(names) - 1)]
         texts.append(None if i % 31 == 0 else " ".join(words(r.randrange(30), i)) + "\t")
         sources.append(s)
-    got = mixing.placed(frame(spark, texts, sources), bucket_rows=10).collect()
+    got = mixing.placed(frame(spark, texts, sources), range_rows=10).collect()
     assert len(got) == 160
     size = [len((t or "").split()) for t in texts]
     per = Counter()
@@ -512,7 +610,7 @@ def test_mixing(spark, seed):
         assert math.isclose(x.target, want[sources[x.doc_id]], rel_tol=1e-9, abs_tol=1e-9) and sum(c.words for c in x.copies) == x.taken
         taken[sources[x.doc_id]] += x.taken
     assert all(abs(taken[s] - want[s]) <= 1 for s in per)
-    again = mixing.placed(frame(spark, texts, sources).repartition(7), bucket_rows=50).collect()
+    again = mixing.placed(frame(spark, texts, sources).repartition(7), range_rows=50).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
@@ -554,6 +652,25 @@ def test_exact_duplicates(spark, keep):
     assert sorted(x.doc_id for x in exact_dedup.drop_exact_duplicates(frame(spark, texts), keep).collect()) == sorted(map(pick, by.values()))
 
 
+def test_merge_of_runs():
+    r = np.random.default_rng(4)
+    runs, want = [], defaultdict(lambda: [-1, 0])
+    for i in range(7):
+        keys = np.sort(np.array([bytes([x]) * 32 + bytes([0] * 7 + [x % 3]) for x in r.integers(0, 9, r.integers(1, 30))], "S40"))
+        ids = r.integers(0, 1000, len(keys))
+        runs.append(exact_dedup.folded((keys, ids, np.ones(len(keys), np.int64)), np.maximum))
+        for k, x in zip(keys.tolist(), ids.tolist(), strict=True):
+            want[k] = [max(want[k][0], x), want[k][1] + 1]
+    keys, ids, n = exact_dedup.merge_runs(runs, np.maximum)
+    assert keys.tolist() == sorted(want) and [[int(a), int(b)] for a, b in zip(ids, n, strict=True)] == [want[k] for k in sorted(want)]
+
+
+def test_tree_has_two_rounds_at_least():
+    for rows in (0, 10**5, 10**7, 10**9, 10**11):
+        radix, rounds = exact_dedup.tree(rows, 10**6)
+        assert rounds >= 2 and 4 <= radix <= 33 and radix**rounds >= rows / 10**6 and (rounds == 2 or 32 ** (rounds - 1) < rows / 10**6)
+
+
 def test_exact_duplicates_edges(spark):
     assert exact_dedup.exact_duplicates(empty(spark)).count() == 0
     df = spark.createDataFrame([(None, "a"), (3, "a"), (None, "b"), (3, "c"), (3, "c")], "doc_id long, text string")
@@ -569,15 +686,14 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_split_pattern(tokenizer):
     samples = ["", " ", "  a", "a  ", "a \n\n b", "it's we'll 'x ''s' 's", "1234 é日本 x\u00a0y", "\t\tx", "$$$ a###", "<|endoftext|>", "a" * 3000, " '", "'S", "\u2028 x\u3000", "🙂🙂 ok"]
+    samples += ["a<|endoftext|>b", "<|endoftext|><|endoftext|> <|endoftext|>\n", "<|endoftext", "x <| endoftext|>", "it's<|endoftext|>'s  "]
     for s in samples:
-        assert packing.encoder()._core_bpe.encode_ordinary(s) == tokenizer.encode(s, add_special_tokens=False).ids, s
+        assert packing.encoder()(s) == tokenizer.encode(s, add_special_tokens=False).ids, s
 
 
 def check_packed(rows, ids, most):
@@ -629,6 +745,49 @@ def test_best_fit_keeps_every_capacity(rule):
         assert (np.cumsum(s[order]) - s[order] == offsets[bins == b][order]).all()
 
 
+def packed_by_hand(sizes, capacity, weights, rule):
+    """Best fit over plain lists: every open or full bin is looked at for every piece."""
+    bins, where = [], [None] * len(sizes)
+    w = [x / c**2 for x, c in zip(weights, capacity, strict=True)]
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        item, best = (sizes[i], 1, sizes[i] ** 2), None
+        for b, left in enumerate(bins):
+            if all(r >= x for r, x in zip(left, item, strict=True)):
+                score = sum(f * (r - x) ** 2 for f, r, x in zip(w, left, item, strict=True)) if rule == "residual" else -sum(f * r * x for f, r, x in zip(w, left, item, strict=True))
+                if best is None or score < best[0] - 1e-12:
+                    best = score, b
+        if best is None:
+            bins.append(list(capacity))
+            best = 0, len(bins) - 1
+        where[i] = best[1], capacity[0] - bins[best[1]][0]
+        bins[best[1]] = [r - x for r, x in zip(bins[best[1]], item, strict=True)]
+    return where
+
+
+@pytest.mark.parametrize("rule", ["residual", "dot"])
+@pytest.mark.parametrize("capacity", [(100, 3, 6000), (64, 16, 64 * 64), (128, 128, 128 * 128)])
+def test_best_fit_by_hand(rule, capacity):
+    sizes = np.random.default_rng(5).integers(1, 65, 400)
+    bins, offsets = packing.best_fit(sizes, capacity, rule=rule)
+    assert list(zip(bins.tolist(), offsets.tolist(), strict=True)) == packed_by_hand(sizes.tolist(), capacity, (1.0, 0.01, 0.01), rule)
+
+
+@pytest.mark.parametrize(("which", "low", "high"), [(0, 20, 25), (1, 1, 4), (2, 50, 60)])
+def test_each_capacity_binds(which, low, high):
+    """On pieces of a kind, one capacity makes the bins many; made large, it no longer does."""
+    sizes, capacity = np.random.default_rng(6).integers(low, high, 300), [100, 12, 3600]
+    tight = packing.best_fit(sizes, tuple(capacity))[0].max() + 1
+    capacity[which] = 10**9
+    assert packing.best_fit(sizes, tuple(capacity))[0].max() + 1 < tight
+
+
+def test_documents_bind_in_the_query(spark):
+    """Tiny texts: a sequence of the query takes 256 of them, not 1024."""
+    docs = spark.range(1500).selectExpr("id AS doc_id", "IF(id % 2 = 0, '', 'a') AS text")
+    per = Counter(r.sequence_id for r in packing.pack_documents(docs).collect())
+    assert max(per.values()) == 256 and sum(per.values()) == 1500 and len(per) == 6
+
+
 # -- 10
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "b.net", "/e"), ("block", "B.net", "/"), ("allow", "org", "/x")]
@@ -656,6 +815,14 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages, url_filter.rules_frame(spark, []), "block").collect()} == {"block"}
 
 
+def test_url_rules_without_a_path_and_very_long_urls(spark):
+    rules = [("block", "com", ""), ("allow", "a.com", "/x"), ("block", "b.org", "/" + "d/" * 300)]
+    urls = ["http://com", "http://x.com/y", "http://a.com/xy", "http://a.com/" + "x/" * 2000, "http://b.org/" + "d/" * 301, "http://b.org/" + "d/" * 299, "http://" + "s." * 500 + "com/" + "q" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, url_filter.rules_frame(spark, rules)).collect()}
+    assert got == {0: ("com", "block"), 1: ("com", "block"), 2: ("a.com/x", "allow"), 3: ("a.com/x", "allow"), 4: ("b.org/" + "d/" * 300, "block"), 5: (None, "allow"), 6: ("com", "block")}
+
+
 def test_native_operators_run_no_python(spark):
     for df in (url_filter.filter_urls(spark.read.parquet(f"{D}/pages.parquet"), url_filter.rules_frame(spark, RULES)), license_scan.scan_licenses(spark.read.parquet(f"{D}/documents.parquet"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
