@@ -10,8 +10,9 @@ Targets: source i wants ``weight_i / sum(weights)`` of all words; no target exce
 times the source's own size, and the excess is shared out again by weight until none is above. The
 fixed point is min(max_repeat * size, level * weight) with one common level, found by sorting.
 
-The running sum of words within a source is taken in two steps, over hash buckets and inside each,
-so no task holds a whole source, however hot.
+Running sums, over sources and over the documents of all sources, are taken in two steps: rows are dealt into
+ranges of about equal size, summed inside each, and the ranges' totals are added up; so no task holds a whole
+source, however hot, nor all sources.
 
 Defined results: null text has size 0; documents of size 0 take nothing, and nor does a source
 without words; a null source is a source of its own, sorted last; repeated rows are documents of
@@ -20,10 +21,10 @@ their own; an empty table gives an empty result. Columns besides doc_id, text an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe_text, parts_for, stored
+from .common import null_safe_text, parts_for, running_sums, stored
 
 #: (time, relative weight) knots, by turns over the sources: rising, flat, falling.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
@@ -41,21 +42,19 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
     """One row per source: source, rank (by code point, null last), source_size, n_docs, weight, target."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    # A row per source from here on, so one task.
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
+    per = stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), "per_source")
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = per.withColumn("rank", F.row_number().over(order) - 1).withColumn("weight", turn).withColumn("cap", (F.col("source_size") * max_repeat).cast("double"))
+    ranked = running_sums(per, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")})
+    ranked = ranked.withColumn("weight", turn).withColumn("cap", (F.col("source_size") * max_repeat).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
     # Sources reach their cap in the order of cap / weight. With the first j of them at their cap,
     # the level of the rest is (total - caps of j) / (weights of the rest).
-    by = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), "rank")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(0))
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    free = F.when(F.col("cap") / F.col("weight") > F.col("level"), F.col("level"))
-    leveled = ranked.withColumn("level", level).withColumn("final", F.first(free, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    target = F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight")))
-    return leveled.select("source", "rank", "source_size", "n_docs", "weight", target.alias("target"))
+    summed = stored(running_sums(ranked, [F.col("ratio"), F.col("rank")], {"caps": F.col("cap"), "weights": F.col("weight")}), "summed")
+    whole = summed.agg(F.sum(F.col("source_size").cast("double")).alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(whole["size"]) - F.col("caps")) / (F.lit(whole["weight"]) - F.col("weights"))
+    free = summed.withColumn("level", level).where(F.col("ratio") > F.col("level"))
+    final = free.agg(F.min_by("level", F.struct("ratio", "rank"))).first()[0]  # one number
+    target = F.col("cap") if final is None else F.least(F.col("cap"), F.lit(final) * F.col("weight"))
+    return summed.select("source", "rank", "source_size", "n_docs", "weight", target.alias("target"))
 
 
 def invert_schedule(share: Column, knots: tuple[tuple[float, float], ...]) -> Column:
@@ -71,29 +70,22 @@ def invert_schedule(share: Column, knots: tuple[tuple[float, float], ...]) -> Co
     return F.least(F.lit(knots[-1][0]), out.otherwise(F.lit(knots[-1][0])))
 
 
-def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, bucket_rows: int = 1000) -> DataFrame:
+def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, range_rows: int = 20_000) -> DataFrame:
     """Each document with what the mix takes of it.
 
     doc_id, source, size, source_size, target, start (words of its source before it), taken (words,
     repeats counted), copies (array of (pass, words, position in training)).
     """
     sizes = stored(sized(docs), "sizes")
-    targets = stored(source_targets(sizes, weights, max_repeat), "targets")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    # As many buckets as keep each within bucket_rows rows, for the largest source; up to 200,000, as a
-    # source's buckets are summed in one task.
-    largest = targets.agg(F.max("n_docs")).first()[0] or 0
-    n = min(200_000, parts_for(largest, bucket_rows))
-    rows = sizes.withColumn("key", key).withColumn("bucket", (F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * n / F.lit(16**7)).cast("int"))
-    per = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("source", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    o, t = offsets.alias("o"), targets.alias("t")
-    both = local.alias("r").join(o, F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.bucket") == F.col("o.bucket")))
-    both = both.join(t, F.col("r.source").eqNullSafe(F.col("t.source")))
-    out = both.select("r.doc_id", "r.source", "r.size", "t.source_size", "t.target", "t.rank", (F.col("o.offset") + F.col("r.local")).cast("long").alias("start"))
+    targets = source_targets(sizes, weights, max_repeat)
+    # Rows that are alike in all this are interchangeable; their number tells them apart where very many are.
+    rows = sizes.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("n", F.monotonically_increasing_id())
+    order = [F.col("source").asc_nulls_last(), *[F.col(c).asc() for c in ("key", "doc_id", "size", "n")]]
+    ahead = stored(running_sums(rows, order, {"before": F.col("size")}, range_rows), "ahead")
+    firsts = ahead.groupBy("source").agg(F.min("before").alias("first"))
+    facts = stored(targets.alias("t").join(firsts.alias("f"), F.col("t.source").eqNullSafe(F.col("f.source"))).select("t.*", "f.first"), "targets")
+    both = ahead.alias("r").join(facts.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
+    out = both.select("r.doc_id", "r.source", "r.size", "t.source_size", "t.target", "t.rank", (F.col("r.before") - F.col("t.first")).cast("long").alias("start"))
     goal = F.floor("target").cast("long")
     passes = [(i, F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("start") - F.lit(i) * F.col("source_size"))).cast("long")) for i in range(max_repeat)]
     share = [F.when(F.col("target") > 0, (F.col("start") + F.lit(i) * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0)) for i, _ in passes]
@@ -113,3 +105,14 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat:
     """One row per copy that the mix takes (doc_id, source, pass, words, position), range-sorted by position."""
     flat = placed(docs, weights, max_repeat).select("doc_id", "source", F.explode("copies").alias("c")).select("doc_id", "source", "c.pass", "c.words", "c.position")
     return flat.orderBy("position", "doc_id", "pass")
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it, in the order of training, with all its columns.
+
+    A document of which the mix takes a part counts as taken. Rows that share an id have its copies in common: one
+    for each pass, at the first of their positions.
+    """
+    plan = schedule(docs, weights, max_repeat).groupBy("doc_id", "pass").agg(F.min("position").alias("__position"))
+    joined = docs.join(plan.select(F.col("doc_id").alias("__id"), F.col("pass").alias("__pass"), "__position"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    return joined.orderBy("__position", "__id", "__pass").select(*[F.col(f"`{c}`") for c in docs.columns])
