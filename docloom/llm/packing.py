@@ -6,18 +6,19 @@ tokens squared) and go, largest first, each into the open sequence that fits it
 and is best by the weighted residual norm that is left, or by the weighted dot product of the piece
 with what the sequence has left.
 
-At the contract of the registered query and of the pipeline (1024, 1024, 1024 * 1024) only the tokens bind: a
-piece has at least one token, and the sum of squared lengths never exceeds the squared sum. The other two
-capacities are slack there by construction, and all that they do is add their small weights to the score.
+The registered query and the pipeline pack sequences of 1024 tokens, 256 documents and an attention cost of
+1024 squared. The documents bind where texts are tiny (under four tokens on average), and nowhere else, as the
+query is to use as few sequences as it can. The attention cost is that of one full piece, which has to fit;
+below it, as the sum of squares never exceeds the square of the sum, the tokens always bind first.
 
 Packing is local to a task, then global: sequences that come out full, or nearly, are final; the pieces of all
 others go on, with far fewer tasks, and are packed again, until one small task is left. So nearly all
 pieces never move, no task holds more than its share, and in the whole only the last round leaves
 sequences part-empty. Sequence ids are derived from round, task and order, so recomputed tasks agree.
 
-Ids are those of the ``byte_bpe_50k`` vocabulary without special tokens. They are computed from its
-rank file, with a possessive form of its split pattern, which gives the same ids several times faster
-(tests hold the two against each other).
+Ids are those of the ``byte_bpe_50k`` tokenizer file, none added: where a text spells out one of its added
+tokens, that token's id stands there. They are computed from the vocabulary's rank file, with a possessive form
+of its split pattern, which gives the same ids several times faster (tests hold the two against each other).
 
 Defined results: null text is empty, and is a piece that holds only the end-of-text id; repeated rows
 are packed as documents of their own; an empty table gives an empty result. Columns besides doc_id
@@ -28,8 +29,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +48,22 @@ END_OF_TEXT = 2
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(ranks_name: str = "byte_bpe_50k.tiktoken"):
+def encoder(name: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
+    """The ids of a text."""
     import public_tokenizers
     import tiktoken
 
-    with open(public_tokenizers.path(ranks_name), "rb") as f:
+    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    own = tiktoken.Encoding(name, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
+    plain = own._core_bpe.encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        return own.encode(text, allowed_special="all") if any(t in text for t in added) else plain(text)
+
+    return encode
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
@@ -64,7 +75,10 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "residual") -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece. capacity: tokens, documents, attention cost of a sequence."""
+    """(bin, offset) of each piece. capacity: tokens, documents, attention cost of a sequence.
+
+    Largest first; of bins that are equally good, the first one opened.
+    """
     order = np.argsort(-lengths, kind="stable")
     full = np.array(capacity, np.float64)
     w = np.array(weights) / full**2
@@ -82,9 +96,10 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
         if len(fits):
             if rule == "residual":
                 score = ((open_[fits] - item) ** 2) @ w
-                at = int(fits[np.argmin(score)])
             else:
-                at = int(fits[np.argmax(open_[fits] @ (w * item))])
+                score = -(open_[fits] @ (w * item))
+            best = fits[score == score.min()]
+            at = int(best[np.argmin(number[best])])
         else:
             if n_open == len(left):
                 left, number = np.concatenate([left, np.empty_like(left)]), np.concatenate([number, np.empty_like(number)])
@@ -103,7 +118,7 @@ def pieces(docs: DataFrame, most: int = 1024, end: int = END_OF_TEXT, with_ids:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder()._core_bpe.encode_ordinary
+        encode = encoder()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -150,7 +165,7 @@ def _pack(capacity: tuple[int, int, int], turn: int, last: bool, rule: str, gath
     return run
 
 
-def pack(found: DataFrame, capacity: tuple[int, int, int] = (1024, 1024, 1 << 20), rule: str = "residual", gather: int = 20_000, full: float = 0.99) -> DataFrame:
+def pack(found: DataFrame, capacity: tuple[int, int, int] = (1024, 256, 1 << 20), rule: str = "residual", gather: int = 20_000, full: float = 0.99) -> DataFrame:
     """:func:`pieces` with sequence_id and offset.
 
     capacity: tokens, documents and attention cost (sum of squared piece lengths) of a sequence.
@@ -184,4 +199,4 @@ def pack(found: DataFrame, capacity: tuple[int, int, int] = (1024, 1024, 1 << 20
 
 def pack_documents(docs: DataFrame, most: int = 1024, with_ids: bool = True, capacity: tuple[int, int, int] | None = None, rule: str = "residual") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset of every piece of every document."""
-    return pack(pieces(docs, most, with_ids=with_ids), capacity or (most, most, most * most), rule)
+    return pack(pieces(docs, most, with_ids=with_ids), capacity or (most, max(1, most // 4), most * most), rule)
