@@ -102,8 +102,16 @@ def _line_repeats(data: np.ndarray, offs: np.ndarray, rows: int) -> np.ndarray:
 # ---------------------------------------------------------------------------------------------
 
 
+def forward(factor: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """z with factor @ z = y, by forward substitution in the lower triangular factor."""
+    z = np.empty_like(y)
+    for i in range(len(factor)):
+        z[i] = (y[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 class Model(NamedTuple):
-    """Means, inverses' Cholesky factors and log priors of classes 0 and 1."""
+    """Means, Cholesky factors of the covariances (lower) and log priors less log determinants of classes 0 and 1."""
 
     mean: tuple[np.ndarray, np.ndarray]
     factor: tuple[np.ndarray, np.ndarray]
@@ -112,7 +120,7 @@ class Model(NamedTuple):
     def scores(self, x: np.ndarray) -> np.ndarray:
         density = []
         for mean, factor, constant in zip(*self, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T) if len(mean) else np.zeros((0, len(x)))
+            z = forward(factor, (x - mean).T if len(mean) else np.zeros((0, len(x))))
             density.append(constant - 0.5 * (z**2).sum(0))
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
