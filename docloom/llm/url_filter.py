@@ -6,7 +6,7 @@ and then the rule itself, confirm a match; the longest rule wins.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: from there
 up to ``?``, ``#`` or the end. A null URL or one without ``://`` has an empty host and path. Path
-prefixes are cut after each ``/``: a rule is filed under its path up to the last ``/`` and the rest
+prefixes are the empty one and those cut after each ``/``: a rule is filed under its path up to the last ``/`` and the rest
 of it is confirmed after the join, so a rule need not end at a segment.
 
 Defined results: one row for each input row, repeated rows included; a URL that no rule fits gets a
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import parts_for, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,16 +34,16 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), F.substring(bare, F.length(host) + 1, F.length(bare))
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and every parent domain."""
+def _suffixes(host: Column, most: int) -> Column:
+    """The host and its parent domains, of at most so many labels."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def _prefixes(path: Column) -> Column:
-    """Every prefix of the path that ends with a slash; none for a path without one."""
-    cuts = F.split(path, "/")
-    return F.transform(F.filter(F.sequence(F.lit(0), F.size(cuts) - 1), lambda i: i > 0), lambda i: F.concat(F.array_join(F.slice(cuts, 1, i), "/"), F.lit("/")))
+def _prefixes(path: Column, most: int) -> Column:
+    """The empty prefix, and every prefix of the path that ends with a slash, of at most so many characters."""
+    cuts = F.split(F.substring(path, 1, most), "/")
+    return F.transform(F.sequence(F.lit(0), F.size(cuts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(cuts, 1, i), "/"), F.lit("/"))))
 
 
 def _hashed(df: DataFrame, expr: Column) -> DataFrame:
@@ -61,11 +61,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     """id, url, host, path, rule (host and path of the rule that decides, or null), verdict."""
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     host, path = url_parts(F.col("url"))
-    urls = base.select("url").where("url is not null").distinct().select("url", host.alias("host"), path.alias("path"))
-    pairs = urls.select("url", "host", "path", F.explode(_suffixes(F.col("host"))).alias("suffix")).select("url", "path", "suffix", F.explode(_prefixes(F.col("path"))).alias("prefix"))
+    # Dealt by URL, so that all tasks take part in expanding and hashing, however small the URLs are.
+    rows = base.count()
+    urls = base.select("url").where("url is not null").repartition(parts_for(rows, 5_000), "url").distinct().select("url", host.alias("host"), path.alias("path"))
+    known = rules.select(F.col("verdict").alias("rule_verdict"), F.translate(F.col("host"), UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path")).where("rule_host is not null and rule_path is not null")
+    # No expression longer than the rules can match any, so a very long URL is not expanded further.
+    longest = known.agg(F.max(F.size(F.split("rule_host", r"\."))), F.max(F.length("rule_path"))).first()
+    labels, letters = longest[0] or 1, longest[1] or 0
+    pairs = urls.select("url", "host", "path", F.explode(_suffixes(F.col("host"), labels)).alias("suffix")).select("url", "path", "suffix", F.explode(_prefixes(F.col("path"), letters)).alias("prefix"))
     asked = _hashed(pairs, F.concat("suffix", "prefix"))
     kept_path = F.regexp_extract(F.col("rule_path"), "^(.*/)", 1)
-    known = rules.select(F.col("verdict").alias("rule_verdict"), F.translate(F.col("host"), UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path")).where("rule_host is not null and rule_path is not null")
     known = _hashed(known, F.concat("rule_host", kept_path)).withColumnRenamed("digest", "rule_digest").withColumnRenamed("short", "rule_short")
     # Equi-join on the short prefix; everything after it confirms.
     hit = asked.join(known, F.col("short") == F.col("rule_short"), "inner").where("digest = rule_digest and suffix = rule_host and startswith(path, rule_path)")
