@@ -1,6 +1,6 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-Rows lie in cells (by hash of the id). How many rows of each cell go to each destination is drawn
+Rows lie in cells (by hash of the id and of what else orders them). How many rows of each cell go to each destination is drawn
 from the multivariate hypergeometric law, which is what a uniform random permutation of all rows
 would give; then a cell's rows are permuted locally and dealt out by those counts, exchanged, and
 permuted again where they arrive. Shard sizes are therefore exact (at most one apart), not expected.
@@ -10,11 +10,14 @@ destination grows with the input. The matrix is never held anywhere: the counts
 found by walking down a binary tree over the cells, at each node splitting the capacities between
 its halves with a generator seeded by the node, so every cell finds its own row of the same matrix.
 
+Every draw follows the hypergeometric law, at any size (:func:`split_counts`). A cell's rows meet its row of the
+matrix in one task, where each row's piece is found by binary search.
+
 Law ``rows``: counts at most one apart. Everything is decided by the ids, the row count and the seed;
 a rerun, or a recomputed task, gives the same result.
 
-Defined results: null text has no bytes (size 16, CRC of nothing); rows with a null doc_id share one
-cell; repeated rows are rows of their own, ordered among themselves by size and CRC; with fewer rows
+Defined results: null text has no bytes (size 16, CRC of nothing); rows with a null doc_id are dealt
+like others, by size and CRC; repeated rows are rows of their own, and interchangeable; with fewer rows
 than shards some shards are empty; an empty table gives an empty result.
 """
 
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import null_safe_text, parts_for, stored
 
@@ -34,7 +38,11 @@ _EXACT = 10**9 - 1  # numpy's generator takes populations up to this
 
 
 def split_counts(rng: np.random.Generator, capacity: np.ndarray, draw: int) -> np.ndarray:
-    """How many of ``draw`` rows fall into each destination of the given capacities."""
+    """How many of ``draw`` rows, a uniform sample of all, fall into each destination of the given capacities.
+
+    Two ways to draw from one and the same law: numpy's generator where it takes the population, else Bernoulli
+    trials corrected to the exact number. There is no approximation in either.
+    """
     total = int(capacity.sum())
     if draw <= 0:
         return np.zeros_like(capacity)
@@ -89,35 +97,41 @@ def shuffle_into_shards(rows: DataFrame, key: str = "doc_id", ties: tuple[str, .
 
     The columns go along in one struct, so their names cannot clash with anything in here.
     """
-    spark = rows.sparkSession
     order = [F.col(f"row.{c}") for c in (key, *ties)]
     total = rows.count()
     # The matrix has cells times pieces entries: beyond MOST of either they grow instead (a sort that can spill).
     cells, piece_rows = min(MOST, parts_for(total, cell_rows)), max(piece_rows, -(-total // MOST))
-    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")).withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), F.coalesce(order[0].cast("string"), F.lit(""))), F.lit(cells)).cast("int"))
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    mark = lambda salt: F.xxhash64(F.lit(salt), *[F.coalesce(c.cast("string"), F.lit("")) for c in order])
+    packed = packed.withColumn("cell", F.pmod(mark(seed), F.lit(cells)).cast("int"))
     counted = {r["cell"]: r["n"] for r in packed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number per cell
     sizes = np.array([counted.get(i, 0) for i in range(cells)], np.int64)
     shard, first, capacity = destinations(int(sizes.sum()), shards, piece_rows)
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Permute locally: in the order of a hash; exchange by the cell's counts.
+    local = packed.withColumn("mark", mark(seed + 1)).withColumn("tie", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]))
+    kept = local.select("cell", "mark", "tie", "row").repartition(parts_for(total, 50_000), "cell").sortWithinPartitions("cell", "mark", "tie")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, done, to, upto = None, 0, None, None
         for batch in batches:
-            for c in batch.column(0).to_pylist():
-                got = matrix_row(c, sizes, capacity, seed)
-                to = np.flatnonzero(got)
-                upto = np.cumsum(got[to])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), c, np.int32)), pa.array(to.astype(np.int32)), pa.array(upto - got[to]), pa.array(upto), pa.array(shard[to].astype(np.int32)), pa.array(first[to])], names=["cell", "piece", "low", "high", "shard", "first"])
-
-    deal = spark.range(cells).select(F.col("id").cast("int").alias("cell")).repartition(parts_for(cells, 64)).mapInArrow(draw, "cell int, piece int, low long, high long, shard int, first long")
-    # Permute locally, exchange, permute again.
-    here = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed + 1), *order), *order)
-    local = packed.withColumn("rank", (F.row_number().over(here) - 1).cast("long"))
-    # Ranges [low, high) of a cell do not overlap, so each row meets exactly one of its cell's pieces:
-    # the cell's ranges go along as one small sorted array.
-    spans = deal.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("high", "piece", "shard", "first"))).alias("spans"))
-    sent = local.join(spans, "cell").withColumn("to", F.element_at(F.filter("spans", lambda s: s["high"] > F.col("rank")), 1))
-    there = Window.partitionBy("piece").orderBy(F.xxhash64(F.lit(seed + 2), *order), *order)
-    moved = sent.select("row", F.col("to.piece").alias("piece"), F.col("to.shard").alias("shard"), F.col("to.first").alias("first"))
-    out = moved.withColumn("slot", F.col("first") + F.row_number().over(there) - 1)
+            cells_ = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.r_[True, cells_[1:] != cells_[:-1]]) if len(cells_) else []
+            pieces = np.empty(len(cells_), np.int64)
+            for at, end in zip(starts, [*starts[1:], len(cells_)], strict=True):
+                if cells_[at] != cell:
+                    cell, done = int(cells_[at]), 0
+                    got = matrix_row(cell, sizes, capacity, seed)
+                    to = np.flatnonzero(got)
+                    upto = np.cumsum(got[to])
+                pieces[at:end] = to[np.searchsorted(upto, np.arange(done, done + end - at), side="right")]
+                done += int(end - at)
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), pa.array(pieces), pa.array(shard[pieces].astype(np.int32)), pa.array(first[pieces])], names=["row", "tie", "piece", "shard", "first"])
+
+    sent = kept.mapInArrow(deal, StructType([kept.schema["row"], kept.schema["tie"], StructField("piece", LongType()), StructField("shard", IntegerType()), StructField("first", LongType())]))
+    # Permute again where they arrive.
+    there = Window.partitionBy("piece").orderBy(F.xxhash64(F.lit(seed + 2), "tie"), "tie")
+    out = sent.withColumn("slot", F.col("first") + F.row_number().over(there) - 1)
     extra = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in extra], "shard", F.col("slot").cast("long").alias("slot"))
 
