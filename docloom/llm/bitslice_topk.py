@@ -8,28 +8,31 @@ complements. The result is again bit-sliced. The k best rows are selected from t
 slice downward, keeping the rows that are surely in and those still tied; rows tied at the boundary
 are resolved exactly, by smaller id.
 
-Queries are taken in chunks of fixed size, against all blocks of the index; the chunk, not the
-table, is what a task receives. Each block returns its k best per query and these are merged.
+The index is built once and stored, a row per block; the queries are a table of chunks. Every block meets
+every chunk in one join, so a task holds one of each, returns the k best per query, and these are merged.
 
-Defined results: a vector that is null, empty, of another length than most (the commonest length,
-the longer on ties) or that holds a null or non-finite component takes no part; rows with a null id
-take no part; repeated ids are rows of their own, and a query skips every row that has its own id;
-with fewer than k candidates all are returned; an empty table gives an empty result.
+Vectors are compared with those of their own length only. Every row is a query of its own, but rows that repeat
+an id and its vector are one; a query skips every row that has its own id.
+
+Defined results: a vector that is null, empty, or that holds a null or non-finite component takes no part; rows
+with a null id take no part; repeated ids are rows of their own; with fewer than k candidates all are returned; a
+component beyond 64 bits, and a score beyond them, saturates (scores are exact before that, and tie where they
+saturate); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import parts_for, stored
 
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query long, query_id long, vec_id long, score long"
+_MOST = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -51,7 +54,18 @@ class Slices:
         for b in range(self.bits):
             flat[:, b, : self.n] = ((q >> b) & 1).T
         self.maps = np.packbits(flat, axis=2, bitorder="little").view(np.uint64)
-        self.live = np.packbits(np.r_[np.ones(self.n, np.uint8), np.zeros(self.words * 64 - self.n, np.uint8)], bitorder="little").view(np.uint64)
+
+    @classmethod
+    def of(cls, maps: bytes, n: int, dims: int, bits: int) -> Slices:
+        """Slices that were stored."""
+        self = cls.__new__(cls)
+        self.n, self.dims, self.bits, self.words = n, dims, bits, (n + 63) // 64
+        self.maps = np.frombuffer(maps, np.uint64).reshape(dims, bits, self.words)
+        return self
+
+    @property
+    def live(self) -> np.ndarray:
+        return np.packbits(np.r_[np.ones(self.n, np.uint8), np.zeros(self.words * 64 - self.n, np.uint8)], bitorder="little").view(np.uint64)
 
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """(slices of score + offset, offset): all as unsigned, so the order of scores is that of slices."""
@@ -121,13 +135,12 @@ def _value(slices: list[np.ndarray], row: int) -> int:
     return sum((int(s[row // 64]) >> (row % 64) & 1) << i for i, s in enumerate(slices))
 
 
-def block_top(ids: np.ndarray, q: np.ndarray, asked: list[tuple[int, np.ndarray]], k: int) -> Iterator[tuple[int, int, int]]:
-    """(query id, id, score) of the k best rows of a block for each query."""
-    index = Slices(q)
+def block_top(ids: np.ndarray, index: Slices, asked: Iterator[tuple[int, np.ndarray]], k: int) -> Iterator[tuple[int, int, int]]:
+    """(place of the query, id, score) of the k best rows of a block for each query (id, vector)."""
     where: dict[int, list[int]] = {}
     for i, x in enumerate(ids.tolist()):
         where.setdefault(x, []).append(i)
-    for qid, vector in asked:
+    for place, (qid, vector) in enumerate(asked):
         slices, offset = index.scores(vector)
         allowed = index.live
         if qid in where:
@@ -137,52 +150,51 @@ def block_top(ids: np.ndarray, q: np.ndarray, asked: list[tuple[int, np.ndarray]
         sure, tied = index.select(slices, k, allowed)
         tied = tied[np.argsort(ids[tied], kind="stable")][: k - len(sure)]
         for row in [*sure.tolist(), *tied.tolist()]:
-            yield qid, int(ids[row]), _value(slices, row) - offset
+            yield place, int(ids[row]), max(-_MOST - 1, min(_MOST, _value(slices, row) - offset))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(col), -1)
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block_rows: int = 16_384, query_chunk: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def sliced(rows: DataFrame, block_rows: int) -> DataFrame:
+    """The index: a row per block of vectors of one length (dims), with its ids and its bit slices."""
+
+    def run(tab: pa.Table) -> pa.Table:
+        tab = tab.combine_chunks()
+        q = Slices(_matrix(tab.column("q").combine_chunks()))
+        ids = tab.column("vec_id").to_numpy()
+        return pa.table({"dims": pa.array([q.dims], pa.int32()), "bits": pa.array([q.bits], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "maps": pa.array([q.maps.tobytes()], pa.binary())})
+
+    sizes = rows.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "dims").withColumn("block", F.pmod(F.xxhash64("vec_id", "q"), F.col("blocks")).cast("int"))
+    return dealt.select("dims", "block", "vec_id", "q").groupBy("dims", "block").applyInArrow(run, "dims int, bits int, ids binary, maps binary")
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block_rows: int = 16_384, query_chunk: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k highest scores of every row whose id is divisible by ``every``."""
-    spark = vectors.sparkSession
-    every_row = stored(quantised(vectors, scale, id_col, vector_col), "quantised")
-    common = every_row.groupBy(F.size("q").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = every_row.where(F.size("q") == common["dims"])
-    blocks = max(1, -(-int(common["count"]) // block_rows))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-
-    def run(chunk: list[tuple[int, np.ndarray]]):
-        def best(tab: pa.Table) -> pa.Table:
-            tab = tab.combine_chunks()
-            found = list(block_top(tab.column("vec_id").to_numpy(), _matrix(tab.column("q").combine_chunks()), chunk, k))
-            a = np.array(found, np.int64).reshape(-1, 3)
-            return pa.table({"query_id": a[:, 0], "vec_id": a[:, 1], "score": a[:, 2]})
-
-        return dealt.groupBy("block").applyInArrow(best, RESULT)
-
-    asked, last, found = rows.where(F.col("vec_id") % every == 0), None, []
-    while True:  # one chunk of queries, of fixed size, at a time
-        page = asked if last is None else asked.where(F.col("vec_id") > last)
-        got = page.orderBy("vec_id").limit(query_chunk).toArrow()
-        if not got.num_rows:
-            break
-        ids, q = got.column("vec_id").to_numpy(), _matrix(got.column("q").combine_chunks())
-        if len(ids) == query_chunk:  # rows that repeat the last id belong together, in the next chunk
-            whole = ids < ids[-1]
-            if whole.any():
-                ids, q = ids[whole], q[whole]
-        last = int(ids[-1])
-        # Repeated query rows with one id and one vector are one query.
-        uniq = {(int(i), v.tobytes()): (int(i), v) for i, v in zip(ids, q, strict=True)}
-        found.append(run(list(uniq.values())))
-        if got.num_rows < query_chunk:
-            break
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
+    rows = stored(quantised(vectors, scale, id_col, vector_col).withColumn("dims", F.size("q")), "quantised")
+    index = stored(sliced(rows, block_rows), "index")
+    asked = stored(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "q"]).withColumn("query", F.monotonically_increasing_id()), "asked")
+    # Chunks of queries, as many for each length as its queries need; packed, so that each is one row.
+    sizes = asked.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / query_chunk).cast("int"))
+    sizes = stored(sizes, "chunks")
+    packed = asked.join(sizes, "dims").withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int"))
+    packed = packed.groupBy("dims", "chunk").agg(F.collect_list(F.struct("query", "vec_id", "q")).alias("asked"))
+    blocks = index.join(sizes, "dims").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pairs = index.count() * max(1, sizes.agg(F.max("chunks")).first()[0] or 1)
+    met = blocks.join(packed, ["dims", "chunk"]).select("dims", "bits", "ids", "maps", "asked").repartition(parts_for(pairs, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dims, bits, ids, maps = (batch.column(c)[i].as_py() for c in range(4))
+                ids, cell = np.frombuffer(ids, np.int64), batch.column(4)[i].values
+                names, queries, q = (cell.field(c) for c in ("query", "vec_id", "q"))
+                found = list(block_top(ids, Slices.of(maps, len(ids), dims, bits), zip(queries.to_pylist(), _matrix(q), strict=True), k))
+                a = np.array(found, np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(a[:, 0])), queries.take(pa.array(a[:, 0])), pa.array(a[:, 1]), pa.array(a[:, 2])], names=["query", "query_id", "vec_id", "score"])
+
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    ranked = met.mapInArrow(run, RESULT).withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
