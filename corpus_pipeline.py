@@ -8,11 +8,10 @@ Parquet and read again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docloom.llm.common import stored, table
 from docloom.llm.exact_dedup import drop_exact_duplicates
-from docloom.llm.mixing import schedule
+from docloom.llm.mixing import mix_documents
 from docloom.llm.near_dup import drop_near_duplicates
 from docloom.llm.packing import pack_documents
 from docloom.llm.quality import keep_quality
@@ -35,17 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in the order of training; a document of which it takes a part counts as taken."""
-    # Rows that share an id have its copies in common: one for each pass, at the first of their positions.
-    plan = schedule(docs, weights=(5, 2, 1), max_repeat=3).groupBy("doc_id", "pass").agg(F.min("position").alias("__position"))
-    joined = docs.join(plan.select(F.col("doc_id").alias("__id"), F.col("pass").alias("__pass"), "__position"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    names = docs.columns
-    return joined.orderBy("__position", "__id", "__pass").select(*[F.col(f"`{c}`") for c in names])
+    return mix_documents(docs, weights=(5, 2, 1), max_repeat=3)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing into sequences of 1024 tokens: one row per piece of a document."""
-    packed = pack_documents(docs, most=1024, with_ids=False)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_documents(docs, most=1024, with_ids=False).drop("ids")
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mix), ("packing", pack)]
