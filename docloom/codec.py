@@ -6,6 +6,9 @@ an exponent, non-ASCII is written raw, key order is kept and the last of repeate
 
 from __future__ import annotations
 
+import base64
+import datetime
+import decimal
 import json
 import math
 import re
@@ -163,6 +166,28 @@ def reply_tree(value: Any) -> Any:
 # -- BSON, read only
 
 
+def _date(ms: int) -> Any:
+    """Milliseconds since 1970 as extended JSON shows them: ISO 8601 in the years 1970 to 9999, else the number."""
+    if not 0 <= ms < 253_402_300_800_000:
+        return {"$numberLong": str(ms)}
+    at = datetime.datetime(1970, 1, 1) + datetime.timedelta(milliseconds=ms)
+    return at.strftime("%Y-%m-%dT%H:%M:%S") + (f".{ms % 1000:03d}".rstrip("0") if ms % 1000 else "") + "Z"
+
+
+def _decimal(raw: bytes) -> str:
+    """A 128-bit decimal (binary integer form) as text."""
+    bits = int.from_bytes(raw, "little")
+    sign, top = "-" if bits >> 127 else "", bits >> 122 & 31
+    if top == 31:
+        return "NaN"
+    if top == 30:
+        return sign + "Infinity"
+    if top >= 24:  # a coefficient beyond 34 digits counts as zero
+        return str(decimal.Decimal((int(bool(sign)), (0,), (bits >> 111 & 0x3FFF) - 6176)))
+    value = bits & (1 << 113) - 1
+    return str(decimal.Decimal((int(bool(sign)), tuple(map(int, str(value if value < 10**34 else 0))), (bits >> 113 & 0x3FFF) - 6176)))
+
+
 def from_bson(data: bytes) -> Any:
     """The first field's value of a BSON document; null for an empty document or no bytes."""
     import struct
@@ -193,8 +218,24 @@ def from_bson(data: bytes) -> Any:
             return None, at
         if kind == 0x10:
             return struct.unpack_from("<i", data, at)[0], at + 4
-        if kind in (0x09, 0x11, 0x12):
+        if kind == 0x12:
             return struct.unpack_from("<q", data, at)[0], at + 8
+        if kind == 0x09:
+            return {"$date": _date(struct.unpack_from("<q", data, at)[0])}, at + 8
+        if kind == 0x11:
+            i, t = struct.unpack_from("<II", data, at)
+            return {"$timestamp": {"t": t, "i": i}}, at + 8
+        if kind == 0x05:
+            n, sub = struct.unpack_from("<iB", data, at)
+            if n < 0 or at + 5 + n > len(data):
+                raise JsonError("bad BSON length")
+            return {"$binary": {"base64": base64.b64encode(data[at + 5 : at + 5 + n]).decode(), "subType": f"{sub:02x}"}}, at + 5 + n
+        if kind == 0x0B:
+            mid = data.index(0, at)
+            end = data.index(0, mid + 1)
+            return {"$regularExpression": {"pattern": data[at:mid].decode(), "options": data[mid + 1 : end].decode()}}, end + 1
+        if kind == 0x13:
+            return {"$numberDecimal": _decimal(data[at : at + 16])}, at + 16
         if kind == 0x07:
             return {"$oid": data[at : at + 12].hex()}, at + 12
         raise JsonError(f"BSON type {kind:#x} has no JSON value")

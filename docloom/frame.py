@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import functions as J
-from .operators.edits import Editor
+from .codec import dumps, loads
+from .operators.edits import Editor, targets, write
 from .operators.nodes import COLUMNS, nodes
+from .operators.reads import ABSENT, CommandError
 
 LOG = "key string, seq bigint, op string, args array<string>"
+FEED = "key string, seq bigint, ts timestamp, event string, reply string, error string"
 
 
 class DocumentFrame:
@@ -70,19 +73,51 @@ class DocumentFrame:
     def apply_log(self, log: DataFrame, feed: bool = False) -> DataFrame:
         """Apply a log of (key, seq, op, args) in order of seq within each key.
 
-        Result: (key, doc) after it; with ``feed``, the change events (key, seq, event, reply, error)
-        instead. Documents and log meet sorted by key and sequence, and are folded as they stream by, so
-        a key with very many edits needs memory for its document only.
-        """
-        docs = self.df.select(F.col(self.key).cast("string").alias("key"), F.lit(None).cast("bigint").alias("seq"), F.lit("").alias("op"), F.array().cast("array<string>").alias("args"), F.col(self.doc).alias("doc"))
-        edits = log.select(F.col("key").cast("string"), F.col("seq").cast("bigint"), F.lower("op").alias("op"), F.col("args").cast("array<string>"), F.lit(None).cast("string").alias("doc"))
-        both = docs.unionByName(edits).repartition("key").sortWithinPartitions("key", F.col("seq").asc_nulls_first())
-        return both.mapInArrow(_fold(feed), "key string, seq bigint, event string, reply string, error string" if feed else "key string, doc string")
+        Result: (key, doc) after it; with ``feed``, the change events (key, seq, ts, event, reply, error)
+        instead, ts being the log's, if it has that column. Documents and log meet sorted by key and sequence, and
+        are folded as they stream by, so a key with very many edits needs memory for its document only.
 
-    def mset(self, triplets: DataFrame) -> DataFrame:
-        """(key, path, value) triplets with a sequence number ``seq``: sets, applied in order."""
+        Lines without a seq come first; lines of one key and seq are applied in the order of op and arguments. Two
+        documents under one key are an error.
+        """
+        ts = F.col("ts") if "ts" in log.columns else F.lit(None)
+        docs = self.df.select(F.col(self.key).cast("string").alias("key"), F.lit(0).alias("line"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("timestamp").alias("ts"), F.lit("").alias("op"), F.array().cast("array<string>").alias("args"), F.col(self.doc).alias("doc"))
+        edits = log.select(F.col("key").cast("string"), F.lit(1).alias("line"), F.col("seq").cast("bigint"), ts.cast("timestamp").alias("ts"), F.lower("op").alias("op"), F.col("args").cast("array<string>"), F.lit(None).cast("string").alias("doc"))
+        both = docs.unionByName(edits).repartition("key").sortWithinPartitions("key", "line", F.col("seq").asc_nulls_first(), "op", "args")
+        return both.mapInArrow(_fold(feed), FEED if feed else "key string, doc string")
+
+    def sets(self, triplets: DataFrame) -> DataFrame:
+        """(key, path, value) triplets with a sequence number ``seq``, each a set of its own, in order: (key, doc) after them."""
         return self.apply_log(triplets.select("key", "seq", F.lit("set").alias("op"), F.array("path", "value").alias("args")))
 
+    def _joint(self, triplets: DataFrame) -> DataFrame:
+        """(key, old, doc, seq, error, done, events) of every key, and in every row the first error of all."""
+        docs = self.df.select(F.col(self.key).cast("string").alias("key"), F.lit(0).alias("line"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("path"), F.col(self.doc).alias("value"))
+        sets = triplets.select(F.col("key").cast("string"), F.lit(1).alias("line"), F.col("seq").cast("bigint"), F.col("path").cast("string"), F.col("value").cast("string"))
+        both = docs.unionByName(sets).repartition("key").sortWithinPartitions("key", "line", F.col("seq").asc_nulls_first(), "path", "value")
+        return both.mapInArrow(_set_together, "key string, old string, doc string, seq bigint, error string, done boolean, events bigint")
+
+    def mset(self, triplets: DataFrame, feed: bool = False) -> DataFrame:
+        """(key, path, value) triplets with a sequence number ``seq``, as one command: (key, doc) after it.
+
+        Every triplet is checked, and its places found, before any is written; one that is wrong (a path that does
+        not compile, a value that is no JSON, a missing key anywhere but at the root) refuses all. One whose places
+        are not there, or gone by then, leaves the others be. With ``feed``: (key, event, n), a row for each
+        changed key, n being how many triplets changed it.
+        """
+        done = self._joint(triplets)
+        refused = done.agg(F.count("error").alias("errors"))  # one row
+        both = done.join(F.broadcast(refused), F.lit(True))
+        if feed:
+            return both.where("errors = 0 and events > 0").select("key", F.lit("json.mset").alias("event"), F.col("events").alias("n"))
+        return both.select("key", F.when(F.col("errors") > 0, F.col("old")).otherwise(F.col("doc")).alias("doc")).where("doc is not null")
+
+    def mset_reply(self, triplets: DataFrame) -> DataFrame:
+        """(reply, error) of :meth:`mset`, one row: OK if every triplet was written, null if one was not; the first error."""
+        done = self._joint(triplets)
+        one = done.agg(F.min(F.when(F.col("error").isNotNull(), F.struct("seq", "error"))).alias("e"), F.coalesce(F.bool_and("done"), F.lit(True)).alias("done"))
+        return one.select(F.when(F.col("e").isNull() & F.col("done"), F.lit("OK")).alias("reply"), F.col("e.error").alias("error"))
+
 
 _INTEGERS = {"arrinsert": (1,), "arrpop": (1,), "arrtrim": (1, 2)}
 
@@ -92,37 +127,81 @@ def _arguments(op: str, args: list[str]) -> list[Any]:
     return [int(a) if i in _INTEGERS.get(op, ()) else a for i, a in enumerate(args)]
 
 
-def _fold(feed: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, editor, started = None, Editor(None), False
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            names = ["key", "seq", "event", "reply", "error"] if feed else ["key", "doc"]
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()] if feed else [pa.string(), pa.string()]
-            cols = zip(*rows, strict=True) if rows else [[] for _ in names]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
+def _fold(feed: bool):
+    docs = [("key", pa.string()), ("doc", pa.string())]
+    events = [("key", pa.string()), ("seq", pa.int64()), ("ts", pa.timestamp("us", "UTC")), ("event", pa.string()), ("reply", pa.string()), ("error", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, editor, started, whole = None, Editor(None), False, False
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
                 if not started or row["key"] != key:
                     if started and not feed and editor.result() is not None:
                         out.append((key, editor.result()))
-                    key, editor, started = row["key"], Editor(None), True
-                if row["seq"] is None and row["op"] == "":
-                    editor = Editor(row["doc"])
+                    key, editor, started, whole = row["key"], Editor(None), True, False
+                if row["line"] == 0:
+                    if whole:
+                        raise ValueError(f"two documents under the key {key!r}")
+                    editor, whole = Editor(row["doc"]), True
                     continue
                 try:
                     args = _arguments(row["op"], row["args"] or [])
                 except ValueError as e:
                     reply, changed, error = None, False, f"bad log line: {e}"
                 else:
-                    reply, changed, error = editor.apply(row["op"], *args)
+                    reply, changed, error = editor.apply(row["op"] or "", *args)
                 if feed and (changed or error):
-                    out.append((key, row["seq"], f"json.{row['op']}" if changed else None, reply, error))
+                    out.append((key, row["seq"], row["ts"], f"json.{row['op']}" if changed else None, reply, error))
             if out:
-                yield table(out)
+                yield _batch(out, events if feed else docs)
         if started and not feed and editor.result() is not None:
-            yield table([(key, editor.result())])
+            yield _batch([(key, editor.result())], docs)
 
     return run
+
+
+def _set_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per key: the document before and after, the first error, whether every triplet was written, how many changed it."""
+    fields = [("key", pa.string()), ("old", pa.string()), ("doc", pa.string()), ("seq", pa.int64()), ("error", pa.string()), ("done", pa.bool_()), ("events", pa.int64())]
+    key, state = None, None
+
+    def result() -> tuple:
+        new = state["old"] if state["events"] == 0 else dumps(state["doc"])
+        return key, state["old"], new, state["seq"], state["error"], state["done"], state["events"]
+
+    for batch in batches:
+        out: list[tuple] = []
+        for row in batch.to_pylist():
+            if state is None or row["key"] != key:
+                if state is not None:
+                    out.append(result())
+                key, state = row["key"], {"old": None, "first": ABSENT, "doc": ABSENT, "seq": None, "error": None, "done": True, "events": 0}
+            if row["line"] == 0:
+                if state["old"] is not None:
+                    raise ValueError(f"two documents under the key {key!r}")
+                state["old"] = row["value"]
+                continue
+            try:
+                if state["first"] is ABSENT and state["old"] is not None:  # a copy stays as it was, and places are found in it
+                    state["first"], state["doc"] = loads(state["old"]), loads(state["old"])
+                if row["path"] is None or row["value"] is None:
+                    raise CommandError("a triplet needs a path and a value")
+                where, value = targets(state["first"], row["path"]), loads(row["value"])
+                done = write(state["doc"], where, value)
+            except (ValueError, TypeError) as e:
+                if state["error"] is None:
+                    state["seq"], state["error"] = row["seq"], str(e)[:200] or type(e).__name__
+                continue
+            state["doc"] = done.doc
+            state["done"] &= done.reply == "OK"
+            state["events"] += done.changed
+        if out:
+            yield _batch(out, fields)
+    if state is not None:
+        yield _batch([result()], fields)

@@ -6,6 +6,8 @@ a path over the documents must give.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from . import functions as J
 from .frame import DocumentFrame
 from .operators.nodes import nodes
 from .plans import Typed, json_value
+from .sources import read_table, write_snapshot
+from .streaming import event_counts
 
 ITEM = "l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_returnflag STRING"
 ORDER = f"o_orderkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, items ARRAY<STRUCT<{ITEM.replace(' INT', ': INT').replace(' BIGINT', ': BIGINT').replace(' DOUBLE', ': DOUBLE').replace(' STRING', ': STRING')}>>, quantities ARRAY<DOUBLE>, flags ARRAY<STRING>"
@@ -213,10 +217,69 @@ def mget(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("read_mget", mget, "SELECT o.o_orderkey AS ordinal, o.o_orderkey * 3 AS key, f.o_orderkey AS found FROM orders o LEFT JOIN (SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) f ON f.o_orderkey = o.o_orderkey * 3")
-query("read_resp", _one(reply=lambda: J.jp_resp("doc", "$.items")))
-query("read_debug_memory", _one(bytes=lambda: J.jp_debug_memory("doc", "$")[0]))
-query("read_pretty", _one(text=lambda: J.jp_get("doc", "$.items[0]", indent="  ", newline="\n", space=" ")))
-query("read_expand", _one(nested=lambda: J.jp_expand("doc", "$.items"), flat=lambda: J.jp_expand("doc", "$.items", mode="EXPAND1")))
+
+
+# -- texts and protocol trees, over small documents whose text SQL can build
+
+
+def small_docs(spark: SparkSession, d: str) -> DataFrame:
+    """(key, doc): a customer's key, name, a nested object and an array."""
+    doc = F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.struct(F.col("c_nationkey").alias("n"), F.lit(True).alias("t")).alias("in"), F.array("c_custkey", "c_nationkey").alias("xs"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.to_json(doc).alias("doc"))
+
+
+_K, _N = "CAST(c_custkey AS VARCHAR)", "CAST(c_nationkey AS VARCHAR)"
+
+
+def _small(*parts: str) -> str:
+    """SQL that puts a text together: pieces of text by turns with column names k, n, name."""
+    names = {"k": _K, "n": _N, "name": "c_name", "nl": "chr(10)"}
+    return " || ".join(names[p[1:]] if p.startswith(":") else "'" + p.replace("'", "''") + "'" for p in parts)
+
+
+def _text(name: str, column: Callable, *parts: str) -> None:
+    query(name, lambda s, d: small_docs(s, d).select("key", column().alias("text")), f"SELECT c_custkey AS key, {_small(*parts)} AS text FROM customer")
+
+
+_text("read_resp", lambda: J.jp_resp("doc", "$"), '[["{","k",', ":k", ',"name","', ":name", '","in",["{","n",', ":n", ',"t","true"],"xs",["[",', ":k", ",", ":n", "]]]")
+_text("read_resp_legacy", lambda: J.jp_resp("doc", ".in"), '["{","n",', ":n", ',"t","true"]')
+_text("read_pretty", lambda: J.jp_get("doc", "$", indent="  ", newline="\n", space=" "), "[", ":nl", "  {", ":nl", '    "k": ', ":k", ",", ":nl", '    "name": "', ":name", '",', ":nl", '    "in": {', ":nl", '      "n": ', ":n", ",", ":nl", '      "t": true', ":nl", "    },", ":nl", '    "xs": [', ":nl", "      ", ":k", ",", ":nl", "      ", ":n", ":nl", "    ]", ":nl", "  }", ":nl", "]")
+_text("read_expand", lambda: J.jp_expand("doc", "$.in", "$.xs[*]"), '[[{"n":', ":n", ',"t":true}],[', ":k", ",", ":n", "]]")
+_text("read_expand_flat", lambda: J.jp_expand("doc", "$.in", "$.k", mode="EXPAND1"), '[["{\\"n\\":', ":n", ',\\"t\\":true}"],[', ":k", "]]")
+_text("read_expand_strings", lambda: J.jp_expand("doc", "$.k", mode="STRINGS"), '[["', ":k", '"]]')
+_text("edit_set_narrow_floats", lambda: J.jp_set("doc", "$.xs", "[0.1,3.14159,2]", "", "FP16")["doc"], '{"k":', ":k", ',"name":"', ":name", '","in":{"n":', ":n", ',"t":true},"xs":[0.1,3.14,2.0]}')
+_text("edit_set_narrow_floats_refused", lambda: J.jp_set("doc", "$.xs", "[70000.5]", "", "FP16")["doc"], '{"k":', ":k", ',"name":"', ":name", '","in":{"n":', ":n", ',"t":true},"xs":[', ":k", ",", ":n", "]}")
+query("read_debug_memory", lambda s, d: small_docs(s, d).select("key", F.get_json_object(J.jp_debug_memory("doc", "$.name").cast("string"), "$[0]").cast("bigint").alias("bytes")), "SELECT c_custkey AS key, CAST(strlen(c_name) + 2 AS BIGINT) AS bytes FROM customer")
+
+
+def from_bson(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose BSON is put together from the columns: {"v": {"n": int32, "s": string, "when": date}}."""
+    inner = "concat('106E00', hex(char(c_nationkey % 100)), '000000', '027300', hex(char(length(c_name) + 1)), '000000', hex(c_name), '00', '097700', '00E40B5402000000', '00')"
+    body = f"concat(hex(char(length({inner}) div 2 + 4)), '000000', {inner})"
+    raw = f"unhex(concat(hex(char(length({body}) div 2 + 8)), '000000', '037600', {body}, '00'))"
+    return table(spark, d, "customer").where("c_nationkey > 0").select(F.col("c_custkey").alias("key"), J.jp_from_bson(F.expr(raw)).alias("text"))
+
+
+query("source_bson", from_bson, f"""SELECT c_custkey AS key, {_small('{"n":', ":n", ',"s":"', ":name", '","w":{"$date":"1970-04-26T17:46:40Z"}}')} AS text FROM customer WHERE c_nationkey > 0""")
+
+
+def copied(spark: SparkSession, d: str) -> DataFrame:
+    return DocumentFrame(small_docs(spark, d)).copy(1, 2).df.select("key", json_value("doc", "$.k", "bigint").alias("k"))
+
+
+query("write_copy", copied, "SELECT c_custkey AS key, CASE WHEN c_custkey = 2 THEN 1 ELSE c_custkey END AS k FROM customer")
+query("read_lookup", lambda s, d: DocumentFrame(small_docs(s, d)).lookup(7).df, f"""SELECT c_custkey AS key, {_small('{"k":', ":k", ',"name":"', ":name", '","in":{"n":', ":n", ',"t":true},"xs":[', ":k", ",", ":n", "]}")} AS doc FROM customer WHERE c_custkey = 7""")
+
+
+def snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as a snapshot and read again, in the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    path = f"{base.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    write_snapshot(small_docs(spark, d), path)
+    return read_table(spark, path, "key", "doc")
+
+
+query("write_snapshot", snapshot, f"""SELECT c_custkey AS key, {_small('{"k":', ":k", ',"name":"', ":name", '","in":{"n":', ":n", ',"t":true},"xs":[', ":k", ",", ":n", "]}")} AS doc FROM customer""")
 
 # -- edits
 
@@ -284,14 +347,41 @@ def folded(spark: SparkSession, d: str) -> DataFrame:
 query("edit_log", folded, "SELECT CAST(user_id AS VARCHAR) AS key, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS n FROM events GROUP BY user_id")
 
 
+def event_sets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.lit("$.last").alias("path"), F.get_json_object("props", "$.k").alias("value"))
+
+
 def mset(spark: SparkSession, d: str) -> DataFrame:
-    sets = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.lit("$.last").alias("path"), F.get_json_object("props", "$.k").alias("value"))
-    return DocumentFrame(user_docs(spark, d)).mset(sets).select("key", json_value("doc", "$.last", "bigint").alias("last"))
+    return DocumentFrame(user_docs(spark, d)).sets(event_sets(spark, d)).select("key", json_value("doc", "$.last", "bigint").alias("last"))
 
 
 query("edit_mset", mset, "SELECT CAST(user_id AS VARCHAR) AS key, arg_max(CAST(json_extract(props, '$.k') AS BIGINT), event_id) AS last FROM events GROUP BY user_id")
+# As one command, places are found first: the first to add a member does, the others find it there.
+query("edit_mset_joint", lambda s, d: DocumentFrame(user_docs(s, d)).mset(event_sets(s, d)).select("key", json_value("doc", "$.last", "bigint").alias("first")), "SELECT CAST(user_id AS VARCHAR) AS key, arg_min(CAST(json_extract(props, '$.k') AS BIGINT), event_id) AS first FROM events GROUP BY user_id")
 query("change_feed", lambda s, d: DocumentFrame(user_docs(s, d)).apply_log(event_log(s, d), feed=True).groupBy("event").agg(F.count(F.lit(1)).alias("n")), "SELECT 'json.numincrby' AS event, count(*) AS n FROM events")
 
+
+
+def mset_reply(spark: SparkSession, d: str) -> DataFrame:
+    """One joint set: every customer's name, and for those of nation 3 a member that cannot be made."""
+    docs = small_docs(spark, d)
+    sets = docs.select(F.col("key").cast("string"), F.lit(1).alias("seq"), F.lit("$.name").alias("path"), F.lit('"x"').alias("value"))
+    more = docs.where(json_value("doc", "$.in.n", "bigint") == 3).select(F.col("key").cast("string"), F.lit(2).alias("seq"), F.lit("$.no.such").alias("path"), F.lit("1").alias("value"))
+    return DocumentFrame(docs).mset_reply(sets.unionByName(more))
+
+
+query("edit_mset_reply", mset_reply, "SELECT CAST(CASE WHEN count_if(c_nationkey = 3) > 0 THEN NULL ELSE 'OK' END AS VARCHAR) AS reply, CAST(NULL AS VARCHAR) AS error FROM customer")
+
+
+def timed_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Changes by hour of their event time."""
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), "ts", F.lit("numincrby").alias("op"), F.array(F.lit("$.n"), F.lit("1")).alias("args"))
+    feed = DocumentFrame(user_docs(spark, d)).apply_log(log, feed=True)
+    return event_counts(feed, "1 hour").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event", "n")
+
+
+query("change_feed_windows", timed_feed, "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, 'json.numincrby' AS event, count(*) AS n FROM events GROUP BY 1")
+
 # -- the node table
 
 

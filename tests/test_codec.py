@@ -63,3 +63,26 @@ def test_bson():
     assert from_bson(b"") is None and from_bson(struct.pack("<i", 5) + b"\x00") is None
     with pytest.raises(JsonError):
         from_bson(b"\x01")
+
+
+def bson(kind, body):
+    inner = bytes([kind]) + b"v\0" + body + b"\0"
+    return (len(inner) + 4).to_bytes(4, "little") + inner
+
+
+@pytest.mark.parametrize(
+    ("kind", "body", "want"),
+    [
+        (0x09, (1_700_000_000_123).to_bytes(8, "little"), {"$date": "2023-11-14T22:13:20.123Z"}), (0x09, (5000).to_bytes(8, "little"), {"$date": "1970-01-01T00:00:05Z"}), (0x09, (-1).to_bytes(8, "little", signed=True), {"$date": {"$numberLong": "-1"}}),
+        (0x11, (7).to_bytes(4, "little") + (9).to_bytes(4, "little"), {"$timestamp": {"t": 9, "i": 7}}), (0x12, (-3).to_bytes(8, "little", signed=True), -3), (0x05, b"\x03\0\0\0\x80abc", {"$binary": {"base64": "YWJj", "subType": "80"}}),
+        (0x0B, b"a.*\0i\0", {"$regularExpression": {"pattern": "a.*", "options": "i"}}), (0x13, ((6174 << 113) | 1234).to_bytes(16, "little"), {"$numberDecimal": "12.34"}), (0x13, ((1 << 127) | (30 << 122)).to_bytes(16, "little"), {"$numberDecimal": "-Infinity"}),
+    ],
+)
+def test_bson_values_beyond_json(kind, body, want):
+    assert from_bson(bson(kind, body)) == want
+
+
+@pytest.mark.parametrize("data", [bson(0x05, b"\xff\0\0\0\0ab"), bson(0x0B, b"ab"), bson(0x06, b""), b"\x05\0"])
+def test_bad_bson(data):
+    with pytest.raises(JsonError):
+        from_bson(data)

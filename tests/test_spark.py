@@ -128,6 +128,54 @@ def test_log_in_order(spark):
     assert events[("x", 1)] == ("json.nummultby", None) and events[("y", 2)][1] and events[("x", 4)][1] and len(events) == 7
 
 
+def test_log_ties_and_doubles(spark):
+    """Lines without a seq first, ties by op and arguments, whatever the order of rows; two documents under a key are refused."""
+    docs = spark.createDataFrame([("x", '{"n":2}')], "key string, doc string")
+    lines = [("x", 1, "numincrby", ["$.n", "1"]), ("x", None, "nummultby", ["$.n", "10"]), ("x", 1, "nummultby", ["$.n", "3"]), ("x", 1, "numincrby", ["$.n", "4"])]
+    for rows in (lines, lines[::-1]):
+        log = spark.createDataFrame(rows, "key string, seq bigint, op string, args array<string>").repartition(2)
+        assert by_key(DocumentFrame(docs).apply_log(log)) == {"x": '{"n":75}'}
+    with pytest.raises(Exception, match="two documents under the key"):
+        DocumentFrame(docs.unionByName(docs)).apply_log(log).collect()
+
+
+SETS = "key string, seq bigint, path string, value string"
+
+
+@pytest.mark.parametrize(
+    ("sets", "reply", "after", "events"),
+    [
+        ([("a", 1, "$.name", '"new"'), ("c", 2, "$", "[1]"), ("b", 3, "$.more", "{}")], ("OK", None), {"a": {"name": "new", "part": {"size": [1, 2]}}, "b": {"name": "b", "more": {}}, "c": [1]}, {"a": 1, "b": 1, "c": 1}),
+        # A place that is gone by then, or never was: the others are written, the reply is null.
+        ([("a", 1, "$.part", "0"), ("a", 2, "$.part.size[0]", "5"), ("b", 3, "$.name", "1")], (None, None), {"a": {"name": "a", "part": 0}, "b": {"name": 1}}, {"a": 1, "b": 1}),
+        ([("a", 1, "$.no.place", "0"), ("b", 2, "$.name", "1")], (None, None), {"a": {"name": "a", "part": {"size": [1, 2]}}, "b": {"name": 1}}, {"b": 1}),
+        # Places are found before anything is written.
+        ([("b", 1, "$.fresh", "{}"), ("b", 2, "$.fresh.leaf", "1")], (None, None), {"b": {"name": "b", "fresh": {}}}, {"b": 1}),
+        # One wrong triplet refuses all.
+        ([("a", 1, "$.name", "1"), ("b", 2, "$.name", "{bad")], "error", {}, {}),
+        ([("a", 1, "$.name", "1"), ("b", 2, "$.name[", "1")], "error", {}, {}),
+        ([("a", 1, "$.name", "1"), ("new", 2, "$.name", "1")], "error", {}, {}),
+        ([("a", 1, "$.name", "1"), ("b", 2, None, None)], "error", {}, {}),
+        ([], ("OK", None), {}, {}),
+    ],
+)
+def test_joint_sets(spark, sets, reply, after, events):
+    before = {"a": {"name": "a", "part": {"size": [1, 2]}}, "b": {"name": "b"}}
+    frame = DocumentFrame(spark.createDataFrame([(k, json.dumps(v)) for k, v in before.items()], "key string, doc string"))
+    sets = spark.createDataFrame(sets, SETS).repartition(2)
+    got = tuple(frame.mset_reply(sets).first())
+    assert (got[0] is None and got[1]) if reply == "error" else got == reply
+    assert {k: json.loads(v) for k, v in by_key(frame.mset(sets)).items()} == {**before, **after}
+    assert {r.key: r.n for r in frame.mset(sets, feed=True).collect()} == events
+
+
+def test_feed_has_the_time_of_the_log(spark):
+    docs = spark.createDataFrame([("x", '{"n":2}')], "key string, doc string")
+    log = spark.sql("SELECT 'x' AS key, 1L AS seq, TIMESTAMP '2024-05-01 10:20:30' AS ts, 'numincrby' AS op, array('$.n', '1') AS args")
+    assert str(DocumentFrame(docs).apply_log(log, feed=True).first().ts) == "2024-05-01 10:20:30"
+    assert DocumentFrame(docs).apply_log(log.drop("ts"), feed=True).first().ts is None
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "a.txt").write_text('{"a":1}\n[1]]\n')
