@@ -199,6 +199,24 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(f"{feed}/batch=*").count() == 3
 
 
+def test_stream_of_deltas_is_compacted(spark, tmp_path):
+    """Seven batches, two deltas to a whole version: the table is right after each, and old versions go."""
+    schema = "key string, seq bigint, op string, args array<string>"
+    source, table = str(tmp_path / "log"), str(tmp_path / "table")
+    want = {}
+    for i in range(7):
+        lines = [(f"k{i % 3}", 2 * i, "set", ["$", f'{{"n":{i}}}']), (None, 0, "set", ["$", "0"])] + ([("k1", 2 * i + 1, "del", ["$"])] if i == 5 else [])
+        spark.createDataFrame(lines, schema).coalesce(1).write.mode("append").parquet(source)
+        apply_stream(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "ck"), compact=2).awaitTermination(120)
+        want[f"k{i % 3}"] = f'{{"n":{i}}}'
+        if i == 5:
+            del want["k1"]
+        assert by_key(current(spark, table)) == want, i
+    assert min(versions(spark, table)) >= 2 and len(list((tmp_path / "table").glob("v=*"))) <= 2
+    again = by_key(current(spark, table, 4))
+    assert again == {"k0": '{"n":3}', "k1": '{"n":1}', "k2": '{"n":2}'}
+
+
 def test_plans_push_down_and_prune(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     plan = df.where("event_type = 'view'").select(json_value("props", "$.k", "bigint"))._jdf.queryExecution().executedPlan().toString()
