@@ -202,7 +202,7 @@ def _registers(cells: list[bytes], registers: int) -> np.ndarray:
     return np.frombuffer(b"".join(cells), "<u2").reshape(len(cells), registers)
 
 
-def with_hubs(pairs: DataFrame, payload: DataFrame, k: int, percent: int, least: float, part: int = 512) -> DataFrame:
+def with_hubs(pairs: DataFrame, payload: DataFrame, k: int, percent: int, least: float, part: int = 128) -> DataFrame:
     """The pairs (a, b) that are linked. pairs: a, hub b, members of the bucket; payload: id, n_shingles, sketch, text.
 
     A hub's set is made once for some ``part`` partners, whose texts stream past it.
