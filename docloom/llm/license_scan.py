@@ -185,6 +185,60 @@ def _rules() -> tuple[Rule, ...]:
         ("ofl-1.1", "font", r"this font software is licensed under the sil open font license"),
         ("cc0-1.0", "waived", r"has waived all copyright and related or neighboring rights"),
         ("cc-by", "creative", r"this work is licensed under a creative commons attribution"),
+        ("gpl-2.0", "version", r"either version 2 of the license or at your option any later version"),
+        ("gpl-3.0", "version", r"either version 3 of the license or at your option any later version"),
+        ("lgpl-2.1", "version", r"either version 2 1 of the license or at your option any later version"),
+        ("gpl-2.0", "activities", r"activities other than copying distribution and modification are not covered by this license"),
+        ("gpl", "freedom", r"the licenses for most software are designed to take away your freedom to share and change it"),
+        ("gpl-3.0", "propagate", r"to propagate a work means to do anything with it that without permission would make you directly or secondarily liable for infringement"),
+        ("gpl", "everyone", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+        ("wtfpl", "everyone", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+        ("apache-2.0", "contributor", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+        ("apache-2.0", "patent", r"patent license to make have made use offer to sell sell import and otherwise transfer the work"),
+        ("apache-2.0", "governing", r"see the license for the specific language governing permissions and limitations under the license"),
+        ("apache-2.0", "recipients", r"you must give any other recipients of the work or derivative works a copy of this license"),
+        ("mit", "substantial", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+        ("isc", "provided", r"provided that the above copyright notice and this permission notice appear in all copies"),
+        ("hpnd", "documentation", r"permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+        ("hpnd", "publicity", r"in advertising or publicity pertaining to distribution of the software without specific written prior permission"),
+        ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+        ("mpl-1.1", "contents", r"the contents of this file are subject to the mozilla public license version 1 1"),
+        ("mpl-1.1", "governing", r"see the license for the specific language governing rights and limitations under the license"),
+        ("epl", "accompanying", r"the accompanying program is provided under the terms of this eclipse public license"),
+        ("epl-2.0", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?2 0"),
+        ("epl-1.0", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v1 0|v 1 0|version 1 0)"),
+        ("cpl-1.0", "accompanying", r"the accompanying program is provided under the terms of this common public license"),
+        ("cddl-1.0", "contents", r"the contents of this file are subject to the terms of the common development and distribution license"),
+        ("zlib", "freely", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+        ("bsl-1.0", "statement", r"the copyright notices in the software and this entire statement including the above license grant"),
+        ("busl-1.1", "licensor", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+        ("sspl-1.0", "service", r"you must make the service source code available via network download to everyone at no charge under the terms of this license"),
+        ("ms-pl", "governs", r"this license governs use of the accompanying software if you use the software you accept this license"),
+        ("eupl", "eupl", r"licensed under the eupl"),
+        ("psf-2.0", "psf", r"psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform and or display publicly"),
+        ("postgresql", "agreement", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+        ("w3c", "royalty", r"permission to copy modify and distribute this software and its documentation with or without modification for any purpose and without fee or royalty is hereby granted"),
+        ("ofl-1.1", "fonts", r"the fonts including any derivative works can be bundled embedded redistributed and or sold with any software"),
+        ("ofl-1.1", "font", r"permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+        ("odbl-1.0", "database", r"this (?:database|dataset|data) is made available under the open database license"),
+        ("cc-by-4.0", "licensed", r"by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution 4 0 international public license"),
+        ("cc-by-sa", "creative", r"this work is licensed under (?:a|the) creative commons attribution share ?alike"),
+        ("cc-by-nc", "creative", r"this work is licensed under (?:a|the) creative commons attribution non ?commercial"),
+        ("cc-by-nd", "creative", r"this work is licensed under (?:a|the) creative commons attribution no ?deriv(?:s|atives|ative works)"),
+        ("gfdl", "document", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+        ("gfdl", "entitled", r"a copy of the license is included in the section entitled gnu free documentation license"),
+        ("upl-1.0", "condition", r"subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software associated documentation and or data"),
+        ("mulan-psl-2.0", "mulan", r"you can use this software according to the terms and conditions of the mulan psl"),
+        ("cecill", "cecill", r"this software is governed by the cecill (?:b |c )?license under french law and abiding by the rules of distribution of free software"),
+        ("vim", "vim", r"there are no restrictions on distributing unmodified copies of vim except that they must include this license text"),
+        ("beerware", "beer", r"the beer ?ware license"),
+        ("ruby", "ruby", r"ruby is copyrighted free software by yukihiro matsumoto you can redistribute it and or modify it"),
+        ("perl", "perl", r"(?:library|program|module|software) is free software you can redistribute it and or modify it under the same terms as perl itself"),
+        ("tcl", "authors", r"the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose"),
+        ("unicode", "unicode", r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files and any associated documentation"),
+        ("json", "evil", r"the software shall be used for good not evil"),
+        ("proprietary", "sold", r"(?:this|the) software is licensed not sold"),
+        ("proprietary", "reproduced", r"may be reproduced (?:in any form )?without (?:the )?prior written permission"),
         ("proprietary", "reserved", r"all rights reserved"),
         ("proprietary", "unauthorized", r"unauthorized copying of this file (?:via any medium )?is strictly prohibited"),
         ("proprietary", "confidential", r"proprietary and confidential"),
