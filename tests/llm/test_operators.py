@@ -546,7 +546,7 @@ def test_near_duplicates_of_complementary_words(spark):
 
 @pytest.mark.parametrize("open_share", [0, 64])
 def test_near_duplicates_with_many_hubs(spark, open_share):
-    """Many look-alikes, of which some are linked and most are not, whether or not hubs are tried again; also in blocks bounded by bytes."""
+    """Many look-alikes, of which some are linked and most are not, whether or not hubs are tried again."""
     r, base, texts = random.Random(16), words(70, 21, 10**6), []
     for i in range(200):
         copy = list(base)
