@@ -14,25 +14,32 @@ from .codec import dumps, loads
 from .operators.edits import Editor, targets, write
 from .operators.nodes import COLUMNS, nodes
 from .operators.reads import ABSENT, CommandError
+from .plans.lower import NotLowered, Typed, declared
 
 LOG = "key string, seq bigint, op string, args array<string>"
 FEED = "key string, seq bigint, ts timestamp, event string, reply string, error string"
 
 
 class DocumentFrame:
-    """Documents by key, with the read and write commands as table operations."""
+    """Documents by key, with the read and write commands as table operations.
 
-    def __init__(self, df: DataFrame, key: str = "key", doc: str = "doc"):
-        self.df, self.key, self.doc = df, key, doc
+    schema: what every document keeps, as DDL of its root (members are of their type or missing, and not null); then
+    :meth:`values` reads in code generation what has a native form. A document that breaks the schema gives null there,
+    but for two things that go unseen: text after its end, and another value where a string is declared, which gives its text.
+    """
+
+    def __init__(self, df: DataFrame, key: str = "key", doc: str = "doc", schema: str | None = None):
+        self.df, self.key, self.doc, self.schema = df, key, doc, schema
 
     def _with(self, df: DataFrame) -> DocumentFrame:
+        """Another table of documents; edits need not keep the declared schema, so it goes."""
         return DocumentFrame(df, self.key, self.doc)
 
     # -- reads
 
     def lookup(self, key: Any) -> DocumentFrame:
         """One key's document; a filter that reaches the scan."""
-        return self._with(self.df.where(F.col(self.key) == F.lit(key)))
+        return DocumentFrame(self.df.where(F.col(self.key) == F.lit(key)), self.key, self.doc, self.schema)
 
     def copy(self, source: Any, target: Any) -> DocumentFrame:
         """The source's document under another key, replacing what was there."""
@@ -46,8 +53,19 @@ class DocumentFrame:
         return self.df.select(self.key, J.jp_get(self.doc, *paths, **options).alias("value"))
 
     def values(self, **wanted: tuple[str, str]) -> DataFrame:
-        """Columns name = (path, kind), all by one parse."""
-        return self.df.select(self.key, J.jp_values(self.doc, **wanted).alias("v")).select(self.key, *[F.col(f"v.{n}") for n in wanted])
+        """Columns name = (path, kind), all by one parse; with a schema, by a native one for those that have a native form."""
+        native: dict[str, Column] = {}
+        if self.schema is not None:
+            typed = Typed.parsed(F.col("__t"), self.schema, exact=True)
+            for name, (path, kind) in wanted.items():
+                try:
+                    native[name] = typed.value(path, kind)
+                except NotLowered:
+                    continue
+        rest = {n: w for n, w in wanted.items() if n not in native}
+        parsed = [declared(self.doc, self.schema).alias("__t")] if native else []
+        found = [J.jp_values(self.doc, **rest).alias("__v")] if rest else []
+        return self.df.select(self.key, *parsed, *found).select(self.key, *[(native[n] if n in native else F.col("__v").getField(n)).alias(n) for n in wanted])
 
     def mget(self, keys: DataFrame, path: str, ordinal: str = "ordinal") -> DataFrame:
         """(ordinal, key, value) for a table of keys; null for a missing key, or one whose read fails."""

@@ -47,13 +47,8 @@ def _run(ddl: str, arrow: pa.DataType, function: Callable, *inputs: Any) -> Colu
             out.append(function(*args))
         return pa.array(out, arrow)
 
-    # The annotations that Spark reads, for as many inputs as there are.
-    names = ", ".join(f"a{i}: pa.Array" for i in range(len(cols)))
-    scope = {"run": run, "pa": pa}
-    exec(f"def call({names}) -> pa.Array:\n    return run({', '.join(f'a{i}' for i in range(len(cols)))})", scope)
-    call = scope["call"]
-    call.__annotations__ = {**{f"a{i}": pa.Array for i in range(len(cols))}, "return": pa.Array}
-    return F.arrow_udf(call, ddl)(*cols)
+    run.__annotations__ = {"arrays": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, ddl)(*cols)
 
 
 def _column(doc: Column | str) -> Column:

@@ -7,6 +7,9 @@ repeated keys wins), so those are lowered; everything else goes through the Arro
 ``Typed``: documents whose schema is declared and true. The document is parsed once by ``from_json``
 and paths become struct fields and higher-order functions inside code generation. Only what has a test
 of equivalence with the evaluator is accepted; anything else raises :class:`NotLowered`.
+
+``declared``: the parse that ``DocumentFrame.values`` shares among the paths of documents with a declared
+schema. A text that is no JSON, or breaks the schema, is told apart there, and gives null.
 """
 
 from __future__ import annotations
@@ -47,6 +50,22 @@ def json_value(doc: Column | str, path: str, kind: str, native: bool | None = No
     return out
 
 
+#: The field of :func:`declared` that holds the text of a document that breaks its schema.
+BROKEN = "__broken"
+
+
+def declared(doc: Column | str, schema: str | T.DataType) -> Column:
+    """The document as a struct of its declared schema, and, in field ``__broken``, its text where it does not keep it."""
+    kind = _struct(schema)
+    whole = T.StructType([*kind.fields, T.StructField(BROKEN, T.StringType())])
+    options = {"columnNameOfCorruptRecord": BROKEN, "allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
+    return F.from_json(F.col(doc) if isinstance(doc, str) else doc, whole, options)
+
+
+def _struct(schema: str | T.DataType) -> T.StructType:
+    return T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+
+
 _ORDER = {"<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
 
 
@@ -58,14 +77,18 @@ class Typed:
     """Paths over a column of documents with a declared schema (DDL of the root)."""
 
     def __init__(self, doc: Column | str, schema: str | T.DataType):
-        self.schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        self.schema = _struct(schema)
         self.root = F.from_json(F.col(doc) if isinstance(doc, str) else doc, self.schema)
 
+    #: Refuse arithmetic, which overflows in another way than the evaluator's.
+    exact = False
+
     @classmethod
-    def parsed(cls, column: Column, schema: str | T.DataType) -> Typed:
+    def parsed(cls, column: Column, schema: str | T.DataType, exact: bool = False) -> Typed:
         """Over a column that holds the parsed struct, so that several paths share one parse."""
         out = cls.__new__(cls)
-        out.schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        out.exact = exact
+        out.schema = _struct(schema)
         out.root = column
         return out
 
@@ -74,6 +97,28 @@ class Typed:
         tree = compile_path(path).tree
         return self._value(tree, self.root, self.schema)[0]
 
+    def value(self, path: str, kind: str) -> Column:
+        """What the evaluator gives for a path and a kind (see ``functions.jp_values``); the root is :func:`declared`.
+
+        Null for a null document and for one that breaks the schema. Whole and other numbers compare as doubles.
+        """
+        col, inner, many = self._value(compile_path(path).tree, self.root, self.schema)
+        if kind == "count" or kind.startswith("array<"):
+            if not many:
+                raise NotLowered("a missing member and null are told apart")
+            out = F.size(col).cast("bigint") if kind == "count" else F.transform(col, lambda x: self._cast(x, inner, kind[6:-1]))
+        else:
+            out = self._cast(F.try_element_at(col, F.lit(1)) if many else col, inner, kind)
+        return F.when(self.root.isNotNull() & self.root[BROKEN].isNull(), out)
+
+    @staticmethod
+    def _cast(col: Column, inner: T.DataType | None, kind: str) -> Column:
+        whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+        fits = {"bigint": whole, "double": (*whole, T.FloatType, T.DoubleType), "string": (T.StringType,), "boolean": (T.BooleanType,)}
+        if not isinstance(inner, fits.get(kind, ())):
+            raise NotLowered(f"{kind} of another type")
+        return col.cast(kind)
+
     # Each rule gives (column, type, whether it is an array of matches).
 
     def _value(self, tree, cur: Column, kind: T.DataType) -> tuple[Column, T.DataType | None, bool]:
@@ -84,6 +129,8 @@ class Typed:
         if isinstance(tree, A.Path):
             start = (self.root, self.schema) if tree.root == "$" else (cur, kind)
             return self._steps(tree.steps, *start)
+        if self.exact and isinstance(tree, (A.Binary, A.Unary)):
+            raise NotLowered("arithmetic")
         if isinstance(tree, A.Binary):
             a, b = (self._number(x, cur, kind) for x in (tree.left, tree.right))
             if tree.op == "/":

@@ -431,6 +431,13 @@ query(
     typed,
     f"{LINES}, f AS (SELECT l_orderkey AS k, max(l_quantity) FILTER (i = 1) AS q FROM it GROUP BY l_orderkey) SELECT k AS key, count(*) FILTER (l_quantity > 25 AND l_returnflag = 'R') AS both, count(*) FILTER (i IN (2, 3)) AS middle, sum(l_quantity) AS total, max(l_partkey) FILTER (i = n) AS last, count(*) FILTER (l_quantity > q) AS above, count(*) AS n, any_value(o_totalprice) * 2 AS twice FROM it JOIN f ON k = l_orderkey GROUP BY k",
 )
+query(
+    "values_declared",
+    lambda s, d: DocumentFrame(order_docs(s, d), schema=ORDER).values(
+        total=("$.quantities.sum()", "double"), n=("$.items[*]", "count"), parts=("$.items[?(@.l_quantity > 25)].l_partkey", "count"), first=("$.items[0].l_partkey", "bigint"), status=("$.o_orderstatus", "string"), price=("$.o_totalprice", "double"), returned=('$.items[?@.l_returnflag == "R"].l_quantity', "double")
+    ),
+    _sql("sum(l_quantity) AS total, count(*) AS n, count(*) FILTER (l_quantity > 25) AS parts, max(l_partkey) FILTER (i = 1) AS first, any_value(o_orderstatus) AS status, any_value(o_totalprice) AS price, min_by(l_quantity, i) FILTER (l_returnflag = 'R') AS returned"),
+)
 query("source_valid", lambda s, d: event_docs(s, d).select("event_type", J.jp_valid("doc").alias("ok")).groupBy("event_type").agg(F.count_if("ok").alias("valid")), "SELECT event_type, count(*) AS valid FROM events GROUP BY event_type")
 
 

@@ -84,6 +84,47 @@ def test_typed_refuses(path):
         Typed("doc", SCHEMA).path(path)
 
 
+KEPT = [
+    ("1", '{"a":1,"t":2.5,"items":[{"q":1.0,"f":"R"},{"q":2,"f":"A"},{"q":3.0}],"xs":[1.5,2,0.5,4.0],"one":{"k":"z"}}'),
+    ("2", '{"a":-2,"items":[],"xs":[],"one":{},"more":[{"q":1}]}'),
+    ("3", '{"a":9007199254740993,"t":-1,"items":[{"f":"R"},{"q":9}],"xs":[7.0]}'),
+    ("4", "{}"),
+    ("5", None),
+]
+BROKEN = ["{bad", "[1,2]", '{"a":"1"}', '{"a":1.5}', '{"xs":[1,"2"]}', '{"items":[{"q":"NaN"}]}', '{"one":5}', "{'a':1}", ""]
+
+
+@pytest.mark.parametrize(
+    ("path", "kind", "native"),
+    [
+        ("$.a", "bigint", True), ("$.a", "double", True), ("$.t", "double", True), ("$.one.k", "string", True), ("$.xs[-1]", "double", True), ("$.xs[9]", "double", True), ("$.items[0].f", "string", True),
+        ("$.xs[*]", "array<double>", True), ("$.xs[1:3]", "array<double>", True), ("$.xs[*]", "count", True), ("$.items[*].q", "count", True), ("$.items[*].q", "double", True), ('$.items[?(@.q > 1 && @.f == "A")].q', "array<double>", True),
+        ("$.items[?@.q >= $.xs[0]].f", "array<string>", True), ("$.items[?!@.f]", "count", True), ("$.xs.sum()", "double", True), ("stddev($.xs)", "double", True), ("$.xs.length()", "bigint", True), ("$.items.length()", "bigint", True),
+        # No native form, or one that differs.
+        ("$.t", "bigint", False), ("$.a", "count", False), ("$.a", "array<bigint>", False), ("$.one", "json", False), ("$..q", "array<double>", False), ("$.a + 1", "double", False), ("$.more", "count", False), ("3", "bigint", False),
+    ],
+)
+def test_values_of_a_declared_schema(spark, path, kind, native):
+    """Equal to the evaluator's on documents that keep the schema, null on those that break it; without Python where there is a native form."""
+    broken = [(f"b{i}", text) for i, text in enumerate(BROKEN)]
+    df = spark.createDataFrame(KEPT + broken, "key string, doc string")
+    declared = DocumentFrame(df, schema=SCHEMA).values(v=(path, kind))
+    assert ("Python" not in declared._jdf.queryExecution().executedPlan().toString()) == native
+    got, want = by_key(declared), by_key(DocumentFrame(df).values(v=(path, kind)))
+    assert {k: got[k] for k, _ in KEPT} == {k: want[k] for k, _ in KEPT}
+    if native:
+        assert {got[k] for k, _ in broken} == {None}
+
+
+def test_declared_values_parse_once(spark):
+    df = spark.createDataFrame(KEPT, "key string, doc string")
+    frame = DocumentFrame(df, schema=SCHEMA).lookup("1")
+    both = frame.values(n=("$.xs[*]", "count"), j=("$.one", "json"), s=("$.xs.sum()", "double"), a=("$.a", "bigint"))
+    assert tuple(both.first()) == ("1", 4, '{"k":"z"}', 8.0, 1)
+    plan = frame.values(n=("$.xs[*]", "count"), s=("$.xs.sum()", "double"), a=("$.a", "bigint"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 def test_edit_columns(docs):
     got = {r.key: r for r in DocumentFrame(docs).edit("numincrby", "$.n", "2").collect()}
     assert json.loads(got["a"].doc)["n"] == 3 and got["a"].reply == "[3]" and got["a"].changed
