@@ -326,6 +326,14 @@ def popped(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("edit_arrpop", popped, _sql("max(l_quantity) FILTER (i = 1) AS popped, count(*) - 1 AS left"))
+
+
+def popped_whole(spark: SparkSession, d: str) -> DataFrame:
+    docs = order_docs(spark, d).select("key", J.jp_arrpop("doc", "$.items", 0, "EXPAND").alias("r"))
+    return docs.select("key", F.get_json_object("r.reply", "$[0].l_quantity").cast("double").alias("popped"), json_value(F.col("r.doc"), "$.items[*]", "count").alias("left"))
+
+
+query("edit_arrpop_format", popped_whole, _sql("max(l_quantity) FILTER (i = 1) AS popped, count(*) - 1 AS left"))
 query("edit_arrtrim", edited([("arrtrim", "$.quantities", 1, 2), ("arrtrim", "$.flags", -2, -1)], middle=("$.quantities[*]", "count"), tail=("$.flags[*]", "count")), _sql("count(*) FILTER (i IN (2, 3)) AS middle, count(*) FILTER (i > n - 2) AS tail"))
 query("edit_column_argument", lambda s, d: order_docs(s, d).select("key", J.jp_numincrby("doc", "$.o_orderkey", F.col("key").cast("string")).alias("r")).select("key", json_value(F.col("r.doc"), "$.o_orderkey", "bigint").alias("twice")), _sql("2 * l_orderkey AS twice"))
 
