@@ -28,8 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Folder of tables: where :func:`keep_order_docs` put its order documents.
+_KEPT: dict[str, str] = {}
+
+
+def keep_order_docs(spark: SparkSession, d: str, path: str) -> None:
+    """Write the order documents once; queries of this process on the same tables then read them there."""
+    order_docs(spark, d).write.parquet(path)
+    _KEPT[d] = path
+
+
 def order_docs(spark: SparkSession, d: str) -> DataFrame:
     """(key, doc): an order with its line items, sorted by all their columns."""
+    if d in _KEPT:
+        return spark.read.parquet(_KEPT[d])
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
     joined = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
