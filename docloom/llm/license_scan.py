@@ -293,12 +293,18 @@ def _base(words: Column, phrase: str) -> Column:
     return F.when(F.contains(words, F.lit(seek)), F.struct(places.alias("places"), first.alias("first"), last.alias("last")))
 
 
+def _text(x: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _hits(words: Column, rules: tuple[Rule, ...]) -> Column:
     """(rule, i, gap, size): the i-th hit of a rule has ``size`` words, ``gap`` after the hit before it."""
-    groups: dict[str, list[Column]] = {}
+    groups: dict[str, list[str]] = {}
     for i, r in enumerate(rules):
-        groups.setdefault(f" {r.keyword}", []).append(F.struct(F.lit(i).alias("rule"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern")))
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in groups.items()])
+        groups.setdefault(f" {r.keyword}", []).append(f"named_struct('rule', {i}, 'pattern', {_text(f' (?:{r.pattern})(?= )')})")
+    # One expression of constants, as text: a column for each of them would take seconds to build.
+    table = F.expr(f"array({', '.join(f'named_struct({_text("keyword")}, {_text(k)}, {_text("rules")}, array({", ".join(v)}))' for k, v in groups.items())})")
 
     def found(r: Column) -> Column:
         hits = F.regexp_extract_all(words, r["pattern"], F.lit(0))
@@ -316,13 +322,13 @@ def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text"))
     held = with_words(texts)
     cols = [_base(words, phrase).alias(f"b{i}") for i, (phrase, _) in enumerate(BASE)]
-    found = held.select("doc_id", (_spaces(words) - 1).cast("long").alias("n_words"), *cols, _hits(words, rules).alias("hits"), F.sha2(words, 256).alias("key"))
-    return found.withColumn("key", F.when(F.size("hits") > 0, F.col("key")))
+    found = held.select("doc_id", (_spaces(words) - 1).cast("long").alias("n_words"), *cols, _hits(words, rules).alias("hits"), "words")
+    return found.withColumn("key", F.when(F.size("hits") > 0, F.sha2(words, 256))).drop("words")
 
 
 def _detections(scanned: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(key, first, end, rule, priority, label, confidence) of every detection; key stands for a text."""
-    facts = F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence")) for r in rules])
+    facts = F.expr(f"array({', '.join(f'named_struct({_text("priority")}, {r.priority}, {_text("label")}, {_text(r.label)}, {_text("confidence")}, {float(r.confidence)!r}D)' for r in rules)})")
     flat = scanned.where("key is not null").select("key", "hits").dropDuplicates(["key"]).select("key", F.explode("hits").alias("h")).select("key", "h.*")
     upto = Window.partitionBy("key", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(upto)
